@@ -1,8 +1,8 @@
 """Operators for preparing training text. Nothing else in the library imports this subpackage."""
 
-from fernlake.llm import quality_rules, secret_scan
+from fernlake.llm import html_extract, license_scan, media_sniff, quality_rules, secret_scan
 
-MODULES = (quality_rules, secret_scan)
+MODULES = (quality_rules, secret_scan, license_scan, media_sniff, html_extract)
 
 
 def queries() -> dict:
