@@ -1,8 +1,8 @@
 """Operators for preparing training text. Nothing else in the library imports this subpackage."""
 
-from fernlake.llm import html_extract, license_scan, media_sniff, quality_rules, secret_scan, simhash_dedup
+from fernlake.llm import bpe_codec, html_extract, license_scan, media_sniff, quality_rules, secret_scan, simhash_dedup
 
-MODULES = (quality_rules, secret_scan, license_scan, media_sniff, simhash_dedup, html_extract)
+MODULES = (quality_rules, secret_scan, bpe_codec, license_scan, media_sniff, simhash_dedup, html_extract)
 
 
 def queries() -> dict:
