@@ -30,35 +30,29 @@ from fernlake.llm.common import pick, table
 MAX_LABELLED = 20_000
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Text statistics by name; all are numbers for any text, null included."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    n_words = F.size(words)
-    per_word = F.greatest(n_words, F.lit(1)).cast("double")
-    two_on = F.slice(words, 2, F.greatest(n_words - 1, F.lit(0)))
-    three_on = F.slice(words, 3, F.greatest(n_words - 2, F.lit(0)))
-    threes = F.zip_with(F.zip_with(F.slice(words, 1, F.size(three_on)), F.slice(two_on, 1, F.size(three_on)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), three_on, lambda ab, c: F.xxhash64(ab["a"], ab["b"], c))
-    repeats = F.size(F.filter(F.zip_with(two_on, F.slice(words, 1, F.greatest(n_words - 1, F.lit(0))), lambda a, b: a == b), lambda same: same))
-
-    def share_of(chars: str) -> Column:
-        return (F.length(t) - F.length(F.translate(t, chars, ""))) / n
-
-    return {
-        "n_words": n_words.cast("double"),
-        "word_chars": F.length(t) / per_word,
-        # of word triples, since the share of distinct words falls with the length of any text
-        "distinct_triples": F.when(n_words < 3, 1.0).otherwise(F.size(F.array_distinct(threes)) / F.greatest(n_words - 2, F.lit(1))),
-        "repeated_words": repeats / per_word,
-        "upper": F.regexp_count(t, F.lit(r"\p{Lu}")) / n,
-        "bangs": share_of("!?"),
-        "pipes": share_of("|<>{}[]\\"),
-        "symbols": share_of("#$%&*+=@^_~"),
-        "digits": share_of("0123456789"),
-        "stops": share_of(".,;:"),
-        "line_breaks": share_of("\n"),
-    }
+#: Share of characters that match, by name. Counting matches stays in generated code; ``translate`` makes a string for each character.
+SHARES = {"upper": r"\p{Lu}", "bangs": r"[!?]", "pipes": r"[|<>{}\[\]\\]", "symbols": r"[#$%&*+=@^_~]", "digits": r"[0-9]", "stops": r"[.,;:]", "line_breaks": r"\n"}
+NAMES = ("n_words", "word_chars", "type_token", "repeated_words", *SHARES)
+
+
+def with_statistics(df: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """The rows with a column ``__fl_<name>`` for each named statistic of ``text``; numbers for any text, null included.
+
+    The text is split into words once, in a projection of its own that the others
+    refer to, so that generated code doesn't repeat the split for each statistic.
+    """
+    t = F.coalesce("text", F.lit(""))
+    df = df.withColumn("__fl_words", F.array_remove(F.split(t, r"\s+"), ""))
+    df = df.withColumns({"__fl_n": F.size("__fl_words").cast("double"), "__fl_types": F.size(F.array_distinct("__fl_words"))})
+    n, chars = F.greatest("__fl_n", F.lit(1.0)), F.greatest(F.length(t), F.lit(1)).cast("double")
+    stats = {
+        "n_words": F.col("__fl_n"),
+        "word_chars": F.length(t) / n,
+        # Herdan's measure: unlike the share of distinct words it hardly falls with the length of a text
+        "type_token": F.when(F.col("__fl_n") < 2, 1.0).otherwise(F.log("__fl_types") / F.log(n)),
+        "repeated_words": F.regexp_count(t, F.lit(r"(?<!\S)(\S+)(?=\s+\1(?!\S))")) / n,
+    } | {k: F.regexp_count(t, F.lit(v)) / chars for k, v in SHARES.items()}
+    return df.withColumns({f"__fl_{k}": stats[k] for k in names}).drop("__fl_words", "__fl_types", *(() if "n" in names else ("__fl_n",)))
 
 
 @dataclass(frozen=True)
@@ -77,10 +71,11 @@ class Rule:
             hit &= (v >= at) if up else (v < at)
         return hit
 
-    def column(self, stats: dict[str, Column]) -> Column:
+    def column(self) -> Column:
         out = F.lit(True)
         for name, up, at in self.conditions:
-            out = out & ((stats[name] >= at) if up else (stats[name] < at))
+            v = F.col(f"__fl_{name}")
+            out = out & ((v >= at) if up else (v < at))
         return out
 
 
@@ -156,41 +151,46 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **
     """
     lab = pick(labels, "doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").distinct()
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
-    d = pick(docs, "doc_id", "text").filter(F.trim(F.coalesce("text", F.lit(""))) != "")
-    stats = statistics(F.col("text"))
-    rows = d.join(F.broadcast(lab), "doc_id").select("doc_id", "quality", *[c.alias(k) for k, c in stats.items()]).toPandas()
+    d = pick(docs, "doc_id", "text").filter(~blank(F.col("text"))).join(F.broadcast(lab), "doc_id")
+    rows = with_statistics(d).select("doc_id", "quality", *[F.col(f"__fl_{k}").alias(k) for k in NAMES]).toPandas()
     if not len(rows):
         return []
-    names = list(stats)
+    names = list(NAMES)
     rows = rows.sort_values(["doc_id", "quality", *names], kind="stable")
     return learn(names, rows[names].to_numpy(float), rows["quality"].to_numpy() == 0, **options)
 
 
-def rule_columns(text: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """The ordered conditional expressions: number and wording of the first rule that holds."""
-    stats = statistics(text)
-    first = F.when(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")) == "", 0)
+def blank(text: Column) -> Column:
+    return ~F.coalesce(text, F.lit("")).rlike(r"\S")
+
+
+def with_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows with ``__fl_rule``: the ordered conditional expression, number of the first rule that holds."""
+    used = tuple(k for k in NAMES if any(k == c[0] for r in rules for c in r.conditions))
+    first = F.when(blank(F.col("text")), 0)
     for i, r in enumerate(rules, 1):
-        first = first.when(r.column(stats), i)
-    number = first.otherwise(-1)
-    wording = F.element_at(F.array(*[F.lit(x) for x in ("keep", "empty", *map(str, rules))]), number + 2)
-    return number, wording
+        first = first.when(r.column(), i)
+    df = with_statistics(df, used).withColumn("__fl_rule", first.otherwise(-1))
+    return df.drop(*[f"__fl_{k}" for k in used])
 
 
 def decide(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, rule_id, rule, keep; one row for each input row."""
-    d = pick(docs, "doc_id", "text")
-    number, _ = rule_columns(F.col("text"), rules)
-    d = d.select("doc_id", number.alias("rule_id"))
+    d = with_rule(pick(docs, "doc_id", "text"), rules).select("doc_id", F.col("__fl_rule").alias("rule_id"))
     wording = F.element_at(F.array(*[F.lit(x) for x in ("keep", "empty", *map(str, rules))]), F.col("rule_id") + 2)
     return d.select("doc_id", "rule_id", wording.alias("rule"), (F.col("rule_id") == -1).alias("keep"))
 
 
+def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents that no rule rejects, with all their columns, whatever they are called."""
+    flat = docs.toDF(*[f"__in_{i}" for i in range(len(docs.columns))])
+    flat = with_rule(flat.withColumn("text", F.col(f"__in_{docs.columns.index('text')}")), rules).filter("__fl_rule = -1")
+    return flat.select(*[f"__in_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects, with all their columns."""
-    rules = fit(docs, table(spark, sf_dir, "labels"))
-    number, _ = rule_columns(F.col("text"), rules)
-    return docs.filter(number == -1)
+    """Documents that no rule rejects."""
+    return keep(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
