@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernlake.llm import quality_rules, secret_scan
+from fernlake.llm import bpe_codec, entropy_mix, quality_rules, secret_scan, simhash_dedup
 from fernlake.llm.common import table
 
+#: (name, function of (spark, docs, sf_dir)). Each works on all rows its predecessor kept; all but the last return the columns of documents.
 STAGES = [
     ("quality rules", quality_rules.stage),
+    ("SimHash near-dedup", simhash_dedup.stage),
     ("secret scans", secret_scan.stage),
+    ("mixing sources", entropy_mix.stage),
+    ("byte-level BPE", bpe_codec.stage),
 ]
 
 #: The stages learn, sketch and tokenize, which SQL can't express; tests hold them against brute force.
@@ -17,7 +21,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each over all that its predecessor kept."""
+    """The stages in order, from the documents table."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
