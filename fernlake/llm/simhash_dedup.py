@@ -165,19 +165,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, max_distance: int = MAX_DISTANC
 
 
 def decide_signed(signed: DataFrame, tables: int = TABLES, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """node, group_id, group_size, for the nodes of a written table of signatures."""
-    nodes = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.xxhash64("sig")))
+    """sig, group_id, group_size, for the distinct signatures of a written table.
+
+    Nodes are numbered, not hashed: each is sent with every variant, and small numbers compress where hashes don't.
+    """
+    distinct = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     near = cut(verified(links(nodes, tables), nodes, max_distance))
     roots = components(near)
     of = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = of.groupBy("root").agg(F.min("least").alias("group_id"), F.sum("n").alias("group_size"))
-    return of.join(groups, "root").select("node", "group_id", "group_size")
+    return of.join(groups, "root").select("sig", "group_id", "group_size")
 
 
 def decide(docs: DataFrame, tables: int = TABLES, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """doc_id, group_id, group_size, keep; one row for each input row."""
     signed = cut(sign(docs))
-    grouped = signed.select("doc_id", F.xxhash64("sig").alias("node")).join(decide_signed(signed, tables, max_distance), "node")
+    grouped = signed.join(decide_signed(signed, tables, max_distance), "sig")
     grouped = grouped.select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("keep"))
     ids = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     alone = ids.filter(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\w"))
@@ -188,7 +192,7 @@ def dedup(docs: DataFrame, tables: int = TABLES, max_distance: int = MAX_DISTANC
     """The documents with one row of each group (that of the least doc_id), and all their columns."""
     signed = cut(sign(docs))
     of = decide_signed(signed, tables, max_distance)
-    rows = signed.select("doc_id", F.xxhash64("sig").alias("node")).join(of, "node")
+    rows = signed.join(of, "sig")
     lost = cut(rows.filter("doc_id != group_id").select("doc_id").distinct())
     n_lost, n_rows, n_ids = lost.count(), *signed.agg(F.count("*"), F.count_distinct("doc_id")).first()
     flat = docs.toDF(*[f"__in_{i}" for i in range(len(docs.columns))])
@@ -198,7 +202,7 @@ def dedup(docs: DataFrame, tables: int = TABLES, max_distance: int = MAX_DISTANC
         numbered = own.withColumn("__fl_row", F.monotonically_increasing_id())
         numbered = cut(numbered)
         again = sign_rows(numbered.select("__fl_row", "__fl_id", text.alias("text")))
-        best = again.join(of, F.xxhash64("sig") == F.col("node")).withColumn("__fl_best", F.row_number().over(Window.partitionBy("group_id").orderBy("__fl_id", "__fl_row")))
+        best = again.join(of, "sig").withColumn("__fl_best", F.row_number().over(Window.partitionBy("group_id").orderBy("__fl_id", "__fl_row")))
         kept = numbered.join(best.filter("__fl_best > 1").select("__fl_row"), "__fl_row", "left_anti")
     else:
         lost = lost.withColumnRenamed("doc_id", "__fl_id")
