@@ -15,8 +15,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(name: str, sql: str | None = None):
@@ -68,10 +67,11 @@ def parse_numbers(spark, d):
     return clean.parse_columns(o).withColumn("price", F.round("price", 6))
 
 
-@query("parse_vectors", "SELECT vec_id, list_transform(embedding[1:3], lambda x: round(CAST(round(x, 3) AS DOUBLE), 3)) AS v FROM embeddings")
+@query("parse_vectors", "SELECT vec_id, " + ", ".join(f"round(CAST(round(embedding[{i + 1}], 3) AS DOUBLE), 3) + 0.0 AS v{i}" for i in range(3)) + " FROM embeddings")
 def parse_vectors(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x, 3).cast("string")), ",").alias("v"))
-    return clean.parse_columns(M.tag(e, {"v": ("FloatVector",)})).withColumn("v", F.transform("v", lambda x: F.round(x, 3)))
+    v = clean.parse_columns(M.tag(e, {"v": ("FloatVector",)}))
+    return v.select("vec_id", *[(F.round(F.col("v")[i], 3) + F.lit(0.0)).alias(f"v{i}") for i in range(3)])
 
 
 @query("parse_dates", "SELECT o_orderkey, epoch(o_orderdate) AS t FROM orders")
@@ -119,7 +119,7 @@ def one_hot(spark, d):
 
 @query(
     "binary_encode",
-    f"WITH l AS (SELECT v, row_number() OVER (ORDER BY v) AS code FROM (SELECT DISTINCT p_brand AS v FROM part UNION SELECT '{M.MISSING}')) SELECT p_partkey, " + ", ".join(f"CAST((code >> {4 - j}) & 1 AS INTEGER) AS __binary_{j}" for j in range(5)) + " FROM part JOIN l ON v = p_brand",
+    f"WITH l AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT p_brand AS v FROM part UNION SELECT '{M.MISSING}')) SELECT p_partkey, " + ", ".join(f"CAST((code >> {4 - j}) & 1 AS INTEGER) AS __binary_{j}" for j in range(5)) + " FROM part JOIN l ON v = p_brand",
 )
 def binary_encode(spark, d):
     p = read(spark, d, "part").select("p_partkey", "p_brand")
@@ -193,7 +193,7 @@ def cardinalities(spark, d):
     "encode_features",
     f"""WITH a AS (SELECT p_partkey, p_size, CASE WHEN count(*) OVER (PARTITION BY p_name) = 1 THEN '{M.SINGLETON}' ELSE p_name END AS p_name, p_type FROM part),
     t AS (SELECT DISTINCT p_type FROM a), n AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM t),
-    l AS (SELECT v, row_number() OVER (ORDER BY v) AS code, count(*) OVER () AS k FROM (SELECT DISTINCT p_name AS v FROM a UNION SELECT '{M.MISSING}'))
+    l AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code, count(*) OVER () AS k FROM (SELECT DISTINCT p_name AS v FROM a UNION SELECT '{M.MISSING}'))
     SELECT p_partkey, p_size, i AS type_place, CAST(code AS BIGINT) AS name_code FROM a JOIN n USING (p_type) JOIN l ON v = p_name""",
 )
 def encode_features(spark, d):

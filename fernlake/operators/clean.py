@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +73,7 @@ def parse_columns(df: DataFrame, parsing: Iterable[str] = ("Boolean", "Categoric
     numbers = [c for c in strings if kind[c] & {"Integer", "Float", "Boolean"}]
     if category:
         order = F.col(key) if key else F.monotonically_increasing_id()
-        first = df.agg(*[F.min_by(F.col(c), order).alias(c) for c in category]).first()
+        first = df.select(*category, order.alias("__order")).agg(*[F.min_by(c, "__order").alias(c) for c in category]).first()
         numbers += [c for c in category if first[c] is not None and first[c].isascii() and first[c].isdigit() and c not in numbers]
     out: dict[str, Column] = {}
     if numbers:
@@ -226,6 +226,3 @@ def reassign_boundaries(df: DataFrame, old: str, new: str) -> DataFrame:
             df = df.withMetadata(f.name, dict(f.metadata) | {"boundary_for": new})
     return df
 
-
-def over_all(order: Column) -> Window:
-    return Window.orderBy(order)

@@ -71,7 +71,7 @@ class BinaryEncoder(_Fitted):
         self.codes, self.sizes = {}, {}
         for c in many:
             levels = df.select(F.coalesce(F.col(c).cast("string"), F.lit(M.MISSING)).alias("level")).union(df.sparkSession.range(1).select(F.lit(M.MISSING).alias("level"))).distinct()
-            self.codes[c] = numbered(levels, "level", "code", 1)
+            self.codes[c] = numbered(levels, "level", "code")
             self.sizes[c] = self.codes[c].count()
         return self
 
@@ -85,7 +85,7 @@ class BinaryEncoder(_Fitted):
             missing = codes.filter(F.col("level") == M.MISSING).select(F.col("code").alias(f"__m_{c}"))
             small = n <= BROADCAST_ROWS
             out = out.join(F.broadcast(table) if small else table, F.coalesce(F.col(c).cast("string"), F.lit(M.MISSING)) == F.col(f"__l_{c}"), "left").crossJoin(F.broadcast(missing))  # one row
-            code, width = F.coalesce(F.col(f"__k_{c}"), F.col(f"__m_{c}")), n.bit_length()
+            code, width = F.coalesce(F.col(f"__k_{c}"), F.col(f"__m_{c}")), max(1, (n - 1).bit_length())
             bits = {f"__binary_{number + j}": F.shiftright(code, width - 1 - j).bitwiseAND(F.lit(1)).cast("int") for j in range(width)}
             out = out.withColumns(bits).drop(f"__l_{c}", f"__k_{c}", f"__m_{c}", c)
             for b in bits:
