@@ -56,3 +56,40 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, so that later work doesn't repeat what made them."""
     with_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def packed(df: DataFrame, by: str = "chunk") -> DataFrame:
+    """(chunk, block): the rows of each batch that share a chunk, serialised and compressed together.
+
+    Rows that are to meet in one task travel as blocks of many: texts of a block compress about twice as well as rows do
+    one by one in a shuffle, and the receiver gets whole columns. Results mustn't depend on how rows are spread over blocks.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            chunks = b.column(b.schema.get_field_index(by)).to_numpy(zero_copy_only=False)
+            order = np.argsort(chunks, kind="stable")
+            chunks = chunks[order]
+            edges = np.flatnonzero(np.concatenate([[True], chunks[1:] != chunks[:-1], [True]]))
+            out = []
+            for s, e in zip(edges[:-1], edges[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=options) as w:
+                    w.write_batch(b.take(pa.array(order[s:e])))
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks[edges[:-1]].astype(np.int64)), pa.array(out, pa.binary())], ["chunk", "block"])
+
+    return df.mapInArrow(run, "chunk long, block binary")
+
+
+def unpacked(block: bytes):
+    """The rows of a block, as an Arrow table."""
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(block).read_all()

@@ -3,17 +3,18 @@
 A character n-gram model of order ``ORDER`` for each language is trained on trusted
 text (documents labelled of good quality). Counts, continuation counts, discounts (three for each
 order, from counts of counts) and interpolation weights are Spark aggregations and joins, sharded
-by n-gram. Documents are scored by sharded joins too: texts are dealt to chunks of one language and
-about ``CHUNK_BYTES``; a chunk's distinct n-grams are joined with the model's, which come
-back to the chunk and meet its texts. So the model is never collected or broadcast, and may be of any size.
+by n-gram. Documents are dealt to chunks of one language and about ``CHUNK_BYTES``, the one shuffle of the
+texts, in compressed blocks; a chunk's n-grams are counted where it lies, and its distinct n-grams are joined with the model's,
+which come back to the chunk and meet its texts. So the model is never collected or broadcast, and may be of any size.
 
 A document's perplexity for each character decides: it is kept up to its
 language's threshold, the ``QUANTILE`` of the perplexities of the trusted documents that
 were held out of training (a tenth, by hash of doc_id), widened by ``MARGIN``.
 
-n-grams are 64-bit polynomial hashes of code points; runs of white space count as one space,
-and a text begins with ``ORDER`` - 1 marks of its start. Characters never seen
-share the part of the probability that interpolation leaves for one unknown character.
+An n-gram is its characters' numbers of 16 bits side by side, so contexts and suffixes are shifts and masks of it; the characters
+beyond the basic plane share the 6,400 numbers of its private area. Runs of white space count as one space, and a
+text begins with ``ORDER`` - 1 marks of its start. Characters never seen share the part of the probability that
+interpolation leaves for one unknown character.
 
 Defined results, one row for each input row:
 * null or empty text (or only white space): perplexity null, not kept;
@@ -32,47 +33,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm.common import cut, pick, table
+from fernlake.llm.common import cut, packed, pick, table, unpacked
 
 ORDER = 4
 CHUNK_BYTES = 48_000_000
 QUANTILE = 0.99
 MARGIN = 1.1
 HELD_OUT = 10
-BASE = np.uint64(6364136223846793005)
-START = 0x110000  # not a code point
+START = 0xFFFF  # not a character
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """64 random-looking bits for each code point."""
-    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def points(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each after its marks of the start; where each text's own characters end."""
+def points(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Character numbers of all texts, each after its marks of the start; where each text's own characters end."""
     head = np.full(order - 1, START, np.uint32)
     parts, ends, n = [], [], 0
     for t in texts:
-        own = np.frombuffer(" ".join(t.split()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = np.frombuffer(" ".join((t or "").split()).encode("utf-32-le", "surrogatepass"), np.uint32)
         parts += [head, own]
         n += len(head) + len(own)
         ends.append(n)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array(ends, np.int64)
+    p = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    high = p > 0xFFFF
+    if high.any():
+        p[high] = 0xE000 + p[high] * np.uint32(2654435761) % np.uint32(6400)
+    return p, np.array(ends, np.int64)
 
 
 def keys(p: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
-    """For n = 1 to order, the key of the n-gram that ends at each place; int64. Valid from place n - 1 on."""
-    with np.errstate(over="ignore"):
-        h = mixed(p)
-        out, power = [h.copy()], np.uint64(1)
-        for n in range(1, order):
-            power = power * BASE
-            k = out[-1].copy()
-            k[n:] += h[:-n] * power
-            out.append(k)
+    """For n = 1 to order, the n-gram that ends at each place, the newest character lowest. Valid from place n - 1 on."""
+    out = [p.astype(np.uint64)]
+    for n in range(1, order):
+        k = out[-1].copy()
+        k[n:] |= out[0][:-n] << np.uint64(16 * n)
+        out.append(k)
     return [k.view(np.int64) for k in out]
 
 
@@ -80,75 +73,79 @@ def own_places(p: np.ndarray) -> np.ndarray:
     return np.flatnonzero(p != START)
 
 
-def highest_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, k1 .. k<order> (keys of the n-grams that end at one place), c<n> (keys of their contexts), n: summed over each batch."""
-    names = [f"k{n}" for n in range(1, order + 1)] + [f"c{n}" for n in range(2, order + 1)]
+def distinct_places(k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the places the number of its n-gram, and for each number the first place."""
+    codes, kinds = pd.factorize(k[at])
+    first = np.zeros(len(kinds), np.int64)
+    first[codes[::-1]] = np.arange(len(at))[::-1]
+    return codes, at[first]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs = b.column(0).to_pylist()
-            for lang in dict.fromkeys(langs):
-                texts = [t.as_py() for k, t in zip(langs, b.column(1)) if k == lang]
-                for i in range(0, len(texts), 2000):
-                    p, _ = points(texts[i : i + 2000], order)
-                    at = own_places(p)
-                    if not len(at):
-                        continue
-                    ks = keys(p, order)
-                    codes, distinct = pd.factorize(ks[-1][at])
-                    first = np.full(len(distinct), len(at), np.int64)
-                    np.minimum.at(first, codes, np.arange(len(at)))
-                    place = at[first]
-                    columns = [ks[n][place] for n in range(order)] + [ks[n - 1][place - 1] for n in range(1, order)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), *map(pa.array, columns), pa.array(np.bincount(codes, minlength=len(distinct)).astype(np.int64))], ["lang", *names, "n"])
 
-    schema = "lang string, " + ", ".join(f"{c} long" for c in names) + ", n long"
-    return trusted.select("lang", "text").mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+def highest_counts(rows: DataFrame, good: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, k (n-gram of the highest order), n: counts over the trusted documents, summed up for each chunk before they are shuffled."""
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        trusted, lang = set(right.column("doc_id").to_pylist()), None
+        total: pd.Series | None = None
+        for block in left.column("block") if trusted else ():
+            t = unpacked(block.as_py())
+            lang = t.column("lang")[0].as_py()
+            texts = [x.as_py() for i, x in zip(t.column("doc_id").to_pylist(), t.column("text")) if i in trusted]
+            p, _ = points(texts, order)
+            at = own_places(p)
+            own = pd.Series(keys(p, order)[-1][at]).value_counts(sort=False)
+            total = own if total is None else total.add(own, fill_value=0)
+        n = 0 if total is None else len(total)
+        return pa.table({"lang": pa.array([lang] * n, pa.string()), "k": pa.array(total.index.to_numpy(np.int64) if n else [], pa.int64()), "n": pa.array(total.to_numpy().astype(np.int64) if n else [], pa.int64())})
+
+    counted = rows.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(count, "lang string, k long, n long")
+    return counted.groupBy("lang", "k").agg(F.sum("n").alias("n"))
 
 
-def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
+def suffix(k: str, n: int):
+    """The last n characters of an n-gram column."""
+    return F.col(k).bitwiseAND(F.lit((1 << 16 * n) - 1 if n < 4 else -1).cast("long"))
+
+
+def train(top: DataFrame, order: int = ORDER) -> DataFrame:
     """The model: lang, n, key, p (probability of a seen n-gram), g (weight that a seen context gives the lower order).
 
-    Contexts of order 0 have the key 0 and n = 0; their ``p`` is the probability of an unknown character.
+    ``top`` has the counts of the highest order. The context of order 0 has n = 0 and key 0; its ``p`` is the probability of an unknown character.
     """
-    top = cut(highest_counts(trusted, order))
-    model, lower = [], None
+    model, lower, longer = [], None, None
+    by_order = {order: cut(top.select("lang", "k", F.col("n").alias("c")))}
+    for n in range(order - 1, 0, -1):  # distinct continuations to the left of the next longer
+        longer = by_order[n + 1]
+        by_order[n] = cut(longer.groupBy("lang", suffix("k", n).alias("k")).agg(F.count("*").alias("c")))
     for n in range(1, order + 1):
-        context = F.col(f"c{n}") if n > 1 else F.lit(0).cast("long")
-        suffix = f"k{n - 1}" if n > 1 else None
-        by = ["lang", f"k{n}", *([f"c{n}", suffix] if n > 1 else [])]
-        if n == order:
-            counts = top.groupBy(*by).agg(F.sum("n").alias("c"))
-        else:  # distinct continuations to the left
-            counts = top.groupBy(*by, f"k{n + 1}").agg(F.lit(1).alias("one")).groupBy(*by).agg(F.sum("one").alias("c"))
-        counts = counts.withColumn("context", context)
-        of = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+        counts = by_order[n].withColumn("context", F.shiftrightunsigned("k", 16) if n > 1 else F.lit(0).cast("long"))
+        of = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
         def discount(k: int):
             d = F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))
-            return F.coalesce(F.least(F.greatest(d, F.lit(0.05 * k)), F.lit(0.95 * k)), F.lit(0.5 * k)).alias(f"d{k}")
+            return F.when(d.isNotNull(), F.least(F.greatest(d, F.lit(0.05 * k)), F.lit(0.95 * k))).otherwise(0.5 * k).alias(f"d{k}")
 
-        discounts = counts.groupBy("lang").agg(*of).select("lang", *[discount(k) for k in (1, 2, 3)])
-        d = counts.join(F.broadcast(discounts), "lang")  # three numbers for each language
+        discounts = counts.groupBy("lang").agg(*of).select(F.col("lang").alias("l"), *[discount(k) for k in (1, 2, 3)])
+        d = counts.join(F.broadcast(discounts), F.col("lang").eqNullSafe(F.col("l"))).drop("l")  # three numbers for each language
         d = d.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        contexts = d.groupBy("lang", "context").agg(F.sum("c").cast("double").alias("total"), F.sum("d").alias("left"), F.count("*").alias("kinds"))
-        d = d.join(contexts, ["lang", "context"])
+        contexts = cut(d.groupBy("lang", "context").agg(F.sum("c").cast("double").alias("total"), F.sum("d").alias("left"), F.count("*").alias("kinds")))
         g = F.col("left") / F.col("total")
+        d = d.join(contexts.withColumnsRenamed({"lang": "l", "context": "x"}), F.col("lang").eqNullSafe(F.col("l")) & (F.col("context") == F.col("x"))).drop("l", "x")
         if n == 1:
             unknown = g / (F.col("kinds") + 1)
-            grams = d.select("lang", F.col("k1").alias("key"), ((F.col("c") - F.col("d")) / F.col("total") + unknown).alias("p"))
+            grams = d.select("lang", F.col("k").alias("key"), ((F.col("c") - F.col("d")) / F.col("total") + unknown).alias("p"))
             model.append(contexts.select("lang", F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), unknown.alias("p"), F.lit(1.0).alias("g")))
         else:
-            d = d.withColumn("g", g).join(lower.select("lang", F.col("key").alias(suffix), F.col("p").alias("q")), ["lang", suffix])
-            grams = d.select("lang", F.col(f"k{n}").alias("key"), ((F.col("c") - F.col("d")) / F.col("total") + F.col("g") * F.col("q")).alias("p"))
+            d = d.withColumn("g", g).withColumn("s", suffix("k", n - 1)).join(lower.select(F.col("lang").alias("l"), F.col("key").alias("s"), F.col("p").alias("q")).withColumnRenamed("s", "x"), F.col("lang").eqNullSafe(F.col("l")) & (F.col("s") == F.col("x")))
+            grams = d.select("lang", F.col("k").alias("key"), ((F.col("c") - F.col("d")) / F.col("total") + F.col("g") * F.col("q")).alias("p"))
             model.append(contexts.select("lang", F.lit(n - 1).alias("n"), F.col("context").alias("key"), F.lit(None).cast("double").alias("p"), g.alias("g")))
         lower = cut(grams)
         model.append(lower.select("lang", F.lit(n).alias("n"), "key", "p", F.lit(None).cast("double").alias("g")))
     out = model[0]
     for m in model[1:]:
         out = out.unionByName(m)
-    return cut(out.groupBy("lang", "n", "key").agg(F.max("p").alias("p"), F.max("g").alias("g")))
+    return cut(out.groupBy("lang", "n", "key").agg(F.max("p").cast("float").alias("p"), F.max("g").cast("float").alias("g")))
 
 
 def log_probabilities(ks: list[np.ndarray], before: list[np.ndarray], model: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -171,54 +168,61 @@ def log_probabilities(ks: list[np.ndarray], before: list[np.ndarray], model: dic
     return np.log(q)
 
 
-def dealt(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """The rows with ``chunk``: by language and hash, so many for each language as its size asks for."""
-    sizes = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    sizes = sizes.select(F.col("lang").alias("l"), F.greatest(F.ceil(F.col("bytes") / chunk_bytes), F.lit(1)).alias("parts"))
-    d = docs.join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left")
-    return d.withColumn("chunk", F.xxhash64("lang", F.pmod(F.xxhash64("doc_id", "text"), F.coalesce("parts", F.lit(1))))).select("chunk", "doc_id", "lang", "text")
+def chunk_column(parts):
+    return F.xxhash64("lang", F.pmod(F.xxhash64("doc_id"), F.coalesce(parts, F.lit(1)))).alias("chunk")
 
 
-def chunk_keys(d: DataFrame, order: int = ORDER) -> DataFrame:
+def dealt(docs: DataFrame, good: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The texts as blocks (chunk, block) partitioned by chunk, and the trusted ids (chunk, doc_id).
+
+    A chunk is of one language and a hash of doc_id, as many for each language as its size asks for.
+    """
+    sizes = cut(docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).select(F.col("lang").alias("l"), F.greatest(F.ceil(F.col("bytes") / chunk_bytes), F.lit(1)).alias("parts")))
+    sizes = F.broadcast(sizes)  # a row for each language
+    own = docs.join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left").select(chunk_column(F.col("parts")), "doc_id", "lang", "text")
+    ids = docs.select("doc_id", "lang").join(good, "doc_id", "left_semi").distinct()
+    ids = ids.join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left").select(chunk_column(F.col("parts")), "doc_id")
+    return packed(own).repartition("chunk"), ids
+
+
+def chunk_keys(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """chunk, lang, n, key: the distinct n-grams of each chunk, of the orders 1 to ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, list[np.ndarray]] = {}
+        found: dict[int, tuple] = {}
         for b in batches:
-            chunks, langs = b.column(0).to_pylist(), b.column(2).to_pylist()
-            by: dict[tuple, list[int]] = {}
-            for i, c in enumerate(zip(chunks, langs)):
-                by.setdefault(c, []).append(i)
-            for c, rows in by.items():
-                for i in range(0, len(rows), 1000):
-                    p, _ = points([b.column(3)[j].as_py() for j in rows[i : i + 1000]], order)
+            for chunk, block in zip(b.column(0).to_pylist(), b.column(1)):
+                t = unpacked(block.as_py())
+                texts = t.column("text").to_pylist()
+                for i in range(0, len(texts), 1000):
+                    p, _ = points(texts[i : i + 1000], order)
                     at = own_places(p)
-                    if not len(at):
-                        continue
-                    ks = keys(p, order)
-                    top = pd.Series(ks[-1][at])
-                    at = at[~top.duplicated().to_numpy()]
-                    # lower n-grams that end there, and the contexts; both are n-grams of the chunk or of its starts
-                    new = [pd.unique(np.concatenate([ks[n][at], ks[n][at - 1]]) if n + 1 < order else ks[n][at]) for n in range(order)]
-                    old = found.get(c)
-                    found[c] = new if old is None else [pd.unique(np.concatenate(x)) for x in zip(old, new)]
-        for (chunk, lang), sets in found.items():
-            for n, s in enumerate(sets, 1):
+                    new = pd.unique(keys(p, order)[-1][at])
+                    old = found.get(chunk)
+                    found[chunk] = (t.column("lang")[0].as_py(), new if old is None else pd.unique(np.concatenate([old[1], new])))
+        while found:
+            chunk, (lang, top) = found.popitem()
+            sets = [top]
+            for n in range(order - 1, 0, -1):  # the ends of longer ones, and their contexts
+                k = sets[-1].view(np.uint64)
+                sets.append(pd.unique(np.concatenate([(k & np.uint64((1 << 16 * n) - 1)), k >> np.uint64(16)])).view(np.int64))
+            for n, s in zip(range(order, 0, -1), sets):
+                s = np.sort(s)
                 for i in range(0, len(s), 100_000):
                     part = s[i : i + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), n, np.int32)), pa.array(part)], ["chunk", "lang", "n", "key"])
 
-    return d.mapInArrow(run, "chunk long, lang string, n int, key long")
+    return rows.mapInArrow(run, "chunk long, lang string, n int, key long")
 
 
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, lang, perplexity; one row for each row of docs, which have text; null where the language has no model."""
-    rows = dealt(docs, chunk_bytes).repartition("chunk")
+def score(rows: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, lang, perplexity for each text of the blocks; null where the language has no model."""
     wanted = chunk_keys(rows, order)
-    m = model.withColumnRenamed("lang", "l")
-    same = F.coalesce("lang", F.lit("\0")) == F.coalesce("l", F.lit("\0"))
-    hits = wanted.join(m.withColumnsRenamed({"n": "mn", "key": "mk"}), same & (F.col("n") == F.col("mn")) & (F.col("key") == F.col("mk"))).select("chunk", "n", "key", "p", "g")
-    of = wanted.select("chunk", "lang").distinct().join(F.broadcast(m.filter("n = 0")), same).select("chunk", "n", "key", "p", "g")
+    m = model.withColumnsRenamed({"lang": "l", "n": "mn", "key": "mk"})
+    same = F.col("lang").eqNullSafe(F.col("l"))
+    hits = wanted.join(m, same & (F.col("n") == F.col("mn")) & (F.col("key") == F.col("mk"))).select("chunk", "n", "key", "p", "g")
+    # every chunk has one-character n-grams, so these rows name each chunk's language
+    none = wanted.filter("n = 1").groupBy("chunk").agg(F.min("lang").alias("lang")).join(F.broadcast(m.filter("mn = 0")), same).select("chunk", F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), "p", "g")
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         ns = right.column("n").to_numpy()
@@ -228,31 +232,33 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, chunk_bytes: in
             k, p, g = (a[ns == n] for a in arrays)
             o = np.argsort(k)
             local[int(n)] = (k[o], p[o].astype(float), g[o].astype(float))
-        out = np.full(left.num_rows, np.nan)
-        texts = left.column("text")
-        for i in range(0, left.num_rows if 0 in local else 0, 500):
-            part = texts.slice(i, 500).to_pylist()
-            p, ends = points(part, order)
-            at = own_places(p)
-            if not len(at):
-                continue
-            ks = keys(p, order)
-            codes, distinct = pd.factorize(ks[-1][at])
-            first = np.zeros(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(at))[::-1]
-            place_ = at[first]
-            logs = log_probabilities([k[place_] for k in ks], [k[place_ - 1] for k in ks[:-1]], local)
-            sums = np.zeros(len(p) + 1)
-            sums[at + 1] = logs[codes]
-            sums = sums.cumsum()
-            starts = np.concatenate([[0], ends[:-1]])
-            n = ends - starts - (order - 1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[i : i + len(part)] = np.where(n > 0, np.exp(-(sums[ends] - sums[starts]) / n), np.nan)
-        return pa.table({"doc_id": left.column("doc_id"), "lang": left.column("lang"), "perplexity": pa.array(out, pa.float64(), from_pandas=True)})
-
-    right = hits.unionByName(of)
-    return rows.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(place, "doc_id long, lang string, perplexity double")
+        ids, langs, out = [], [], []
+        for block in left.column("block"):
+            t = unpacked(block.as_py())
+            ids += t.column("doc_id").to_pylist()
+            langs += t.column("lang").to_pylist()
+            texts = t.column("text")
+            for i in range(0, t.num_rows, 500):
+                part = texts.slice(i, 500).to_pylist()
+                p, ends = points(part, order)
+                at = own_places(p)
+                if 0 not in local or not len(at):
+                    out.append(np.full(len(part), np.nan))
+                    continue
+                ks = keys(p, order)
+                codes, first = distinct_places(ks[-1], at)
+                logs = log_probabilities([k[first] for k in ks], [k[first - 1] for k in ks[:-1]], local)
+                sums = np.zeros(len(p) + 1)
+                sums[at + 1] = logs[codes]
+                sums = sums.cumsum()
+                starts = np.concatenate([[0], ends[:-1]])
+                n = ends - starts - (order - 1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out.append(np.where(n > 0, np.exp(-(sums[ends] - sums[starts]) / n), np.nan))
+        values = np.concatenate(out) if out else np.zeros(0)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "perplexity": pa.array(values, pa.float64(), from_pandas=True)})
+
+    return rows.groupBy("chunk").cogroup(hits.unionByName(none).groupBy("chunk")).applyInArrow(place, "doc_id long, lang string, perplexity double")
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -269,9 +275,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     d = pick(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     full, blank = d.filter(F.coalesce("text", F.lit("")).rlike(r"(?U)\S")), d.filter(~F.coalesce("text", F.lit("")).rlike(r"(?U)\S"))
     good = cut(good_ids(labels))
-    trusted = full.join(good, "doc_id", "left_semi")
-    model = train(trusted.filter(~held_out()), order)
-    scores = cut(score(full, model, order, chunk_bytes))
+    rows, ids = dealt(full, good, chunk_bytes)
+    model = train(highest_counts(rows, ids.filter(~held_out()), order), order)
+    scores = cut(score(rows, model, order))
     known = scores.join(good, "doc_id", "left_semi").filter("perplexity is not null")
     # held-out documents set the threshold; a language with none of them falls back on its training documents
     limits = known.groupBy("lang").agg(
