@@ -139,17 +139,16 @@ def scan(docs: DataFrame, tokenizers: str = TOKENIZERS, min_chars: int = MIN_CHA
 
 def redact(docs: DataFrame, tokenizers: str = TOKENIZERS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with each secret replaced by a placeholder; ``n_chars``, if there, follows the text where it changed."""
-    only = F.when(has_run(F.col("text"), min_chars), F.col("text"))
     names = docs.columns
-    if "text" not in names:
-        raise ValueError("no column 'text'")
-    d = docs.withColumn("__fl_new", _redacted(f"{tokenizers}/byte_bpe_50k.tiktoken", min_chars)(only))
-    text = F.coalesce("__fl_new", "text")
-    columns = {"text": text}
+    flat = docs.toDF(*[f"__in_{i}" for i in range(len(names))])
+    old = F.col(f"__in_{names.index('text')}").cast("string")
+    only = F.when(has_run(old, min_chars), old)
+    d = flat.withColumn("__fl_new", _redacted(f"{tokenizers}/byte_bpe_50k.tiktoken", min_chars)(only))
+    columns = {"text": F.coalesce("__fl_new", old)}
     if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.col("__fl_new") != F.col("text"), F.length("__fl_new").cast(kind)).otherwise(F.col("n_chars"))
-    return d.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+        at, kind = f"__in_{names.index('n_chars')}", docs.schema[names.index("n_chars")].dataType
+        columns["n_chars"] = F.when(F.col("__fl_new") != old, F.length("__fl_new").cast(kind)).otherwise(F.col(at))
+    return d.select(*[columns.get(c, F.col(f"__in_{i}")).alias(f"__in_{i}") for i, c in enumerate(names)]).toDF(*names)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
