@@ -172,8 +172,8 @@ def chunk_column(parts):
     return F.xxhash64("lang", F.pmod(F.xxhash64("doc_id"), F.coalesce(parts, F.lit(1)))).alias("chunk")
 
 
-def dealt(docs: DataFrame, good: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The texts as blocks (chunk, block) partitioned by chunk, and the trusted ids (chunk, doc_id).
+def dealt(docs: DataFrame, good: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts as blocks (chunk, block) partitioned by chunk, the trusted ids (chunk, doc_id), and the chunks' languages (chunk, lang).
 
     A chunk is of one language and a hash of doc_id, as many for each language as its size asks for.
     """
@@ -182,7 +182,8 @@ def dealt(docs: DataFrame, good: DataFrame, chunk_bytes: int) -> tuple[DataFrame
     own = docs.join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left").select(chunk_column(F.col("parts")), "doc_id", "lang", "text")
     ids = docs.select("doc_id", "lang").join(good, "doc_id", "left_semi").distinct()
     ids = ids.join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left").select(chunk_column(F.col("parts")), "doc_id")
-    return packed(own).repartition("chunk"), ids
+    langs = docs.select("doc_id", "lang").join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left").select(chunk_column(F.col("parts")), "lang").distinct()
+    return packed(own).repartition("chunk"), ids, langs
 
 
 def chunk_keys(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -215,14 +216,13 @@ def chunk_keys(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, lang string, n int, key long")
 
 
-def score(rows: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+def score(rows: DataFrame, langs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang, perplexity for each text of the blocks; null where the language has no model."""
     wanted = chunk_keys(rows, order)
     m = model.withColumnsRenamed({"lang": "l", "n": "mn", "key": "mk"})
     same = F.col("lang").eqNullSafe(F.col("l"))
     hits = wanted.join(m, same & (F.col("n") == F.col("mn")) & (F.col("key") == F.col("mk"))).select("chunk", "n", "key", "p", "g")
-    # every chunk has one-character n-grams, so these rows name each chunk's language
-    none = wanted.filter("n = 1").groupBy("chunk").agg(F.min("lang").alias("lang")).join(F.broadcast(m.filter("mn = 0")), same).select("chunk", F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), "p", "g")
+    none = langs.join(F.broadcast(m.filter("mn = 0")), same).select("chunk", F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), "p", "g")
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         ns = right.column("n").to_numpy()
@@ -275,9 +275,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     d = pick(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     full, blank = d.filter(F.coalesce("text", F.lit("")).rlike(r"(?U)\S")), d.filter(~F.coalesce("text", F.lit("")).rlike(r"(?U)\S"))
     good = cut(good_ids(labels))
-    rows, ids = dealt(full, good, chunk_bytes)
+    rows, ids, langs = dealt(full, good, chunk_bytes)
     model = train(highest_counts(rows, ids.filter(~held_out()), order), order)
-    scores = cut(score(rows, model, order))
+    scores = cut(score(rows, langs, model, order))
     known = scores.join(good, "doc_id", "left_semi").filter("perplexity is not null")
     # held-out documents set the threshold; a language with none of them falls back on its training documents
     limits = known.groupBy("lang").agg(
