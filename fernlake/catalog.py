@@ -476,3 +476,135 @@ def recommend(spark, d):
 def text_classify(spark, d):
     x = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("y")), "doc_id")
     return learn.TextClassifier(grid=(0.01,), size=2000).fit(x, "text", "y", "doc_id").predict(x, "doc_id")
+
+
+@query("link_predict")
+def link_predict(spark, d):
+    e = edges(spark, d).filter("src <= 200").select(F.col("src").cast("string"), F.concat(F.lit("p"), F.col("dst")).alias("dst"))
+    model, ids = graph.factorize_links(e, rank=4, steps=3)
+    return graph.score_links(model, ids, e)
+
+
+@query("negative_edges")
+def negative_edges(spark, d):
+    e = edges(spark, d).withColumn("kind", F.lit("bought"))
+    return graph.negative_sample(graph.nodes_of(e), e.select("kind"), e, 100)
+
+
+@query("spectral")
+def spectral(spark, d):
+    e = read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("src"), F.col("c_mktsegment").alias("dst"))
+    return graph.spectral(graph.symmetrize(e), 3).select("id", F.size("v").alias("n"))
+
+
+@query("text_encode")
+def text_encode(spark, d):
+    x = read(spark, d, "documents").filter("length(text) < 800").join(read(spark, d, "labels"), "doc_id").select("doc_id", "text", "quality")
+    return encode.TextEncoder(size=1000).fit(x, ["text"], "quality", "doc_id").transform(x).select("doc_id", "__text_0")
+
+
+@query("vector_histogram")
+def vector_histogram(spark, d):
+    return encode.vector_histogram(read(spark, d, "embeddings"), "label", "embedding", k=8)
+
+
+@query("importances")
+def importances(spark, d):
+    e = clean.expand_lists(read(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("y")), ["embedding"], widths={"embedding": 6})
+    return learn.Forest(n_estimators=4, max_depth=4, num_fits=1).fit(e, "y", "vec_id").importances(e)
+
+
+@query("contributions")
+def contributions(spark, d):
+    li = read(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_discount", F.col("l_extendedprice").alias("y"))
+    m = learn.Forest("meanSquaredError", n_estimators=4, max_depth=3, num_fits=1).fit(li, "y", "id")
+    return learn.tree_path_contributions(m.models[0], li, "id", m.features)
+
+
+# More of the relational steps inside the operators
+
+
+@query("nodes", f"WITH e AS ({EDGES}) SELECT src AS id FROM e UNION SELECT dst FROM e")
+def nodes(spark, d):
+    return graph.nodes_of(edges(spark, d))
+
+
+@query("pad_nodes", "SELECT CAST(r_regionkey AS VARCHAR) AS id FROM region UNION ALL SELECT '__pad_' || CAST(i AS VARCHAR) FROM range((SELECT count(*) FROM region), (SELECT count(*) FROM nation)) t(i)")
+def pad_nodes(spark, d):
+    a, b = (read(spark, d, t).select(F.col(k).cast("string").alias("id")) for t, k in (("region", "r_regionkey"), ("nation", "n_nationkey")))
+    return graph.pad_nodes(a, b)[0]
+
+
+@query("band_filter", "SELECT event_id FROM events WHERE event_type = (SELECT event_type FROM events ORDER BY ts, event_id LIMIT 1)")
+def band_filter(spark, d):
+    return reshape.band_filter(read(spark, d, "events").select("event_id", "event_type", "ts"), "event_type", ["ts", "event_id"]).select("event_id")
+
+
+@query("must_match", "SELECT n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def must_match(spark, d):
+    n = read(spark, d, "nation").withColumnRenamed("n_regionkey", "k")
+    return reshape.must_match(n, read(spark, d, "region").withColumnRenamed("r_regionkey", "k"), "k").select("n_nationkey", "r_name")
+
+
+@query("top_similar", "WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding[1:4], b.embedding[1:4]) AS s FROM embeddings a, embeddings b WHERE a.vec_id < 60 AND b.vec_id < 60), r AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY round(s, 4) DESC) AS r FROM s) SELECT a, b FROM r WHERE r <= 16 AND a <> b")
+def top_similar(spark, d):
+    e = read(spark, d, "embeddings").filter("vec_id < 60").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    s = e.toDF("a", "va").crossJoin(e.toDF("b", "vb")).select("a", "b", F.round(S.dot(F.col("va"), F.col("vb")), 4).alias("s"))
+    return neighbors.top_similar(s, "a", "b", "s").select("a", "b")
+
+
+@query("pair_distances", "SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id < 50")
+def pair_distances(spark, d):
+    e = read(spark, d, "embeddings")
+    return neighbors.pair_distances(e.filter("vec_id < 20"), e.filter("vec_id < 50"), "vec_id", "embedding", "euclidean").withColumn("distance", F.round("distance", 6))
+
+
+NATIONS = "WITH e AS (SELECT DISTINCT n_regionkey AS src, n_nationkey + 100 AS dst FROM nation), s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), g AS (SELECT src AS id, count(*) AS n FROM s GROUP BY 1), a AS (SELECT src, dst, 1 / sqrt(a.n * b.n) AS w FROM s JOIN g a ON a.id = src JOIN g b ON b.id = dst)"
+
+
+@query(
+    "diffuse",
+    NATIONS + ", x0 AS (SELECT 0 AS id, 1.0::DOUBLE AS v), x1 AS (SELECT src AS id, 0.9 * sum(w * v) AS v FROM a JOIN x0 ON dst = x0.id GROUP BY 1), x2 AS (SELECT src AS id, 0.9 * sum(w * v) AS v FROM a JOIN x1 ON dst = x1.id GROUP BY 1) SELECT CAST(id AS INTEGER) AS id, round(sum(v), 6) AS value FROM (SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2) GROUP BY 1",
+)
+def diffuse(spark, d):
+    e = read(spark, d, "nation").select(F.col("n_regionkey").alias("src"), (F.col("n_nationkey") + 100).alias("dst")).distinct()
+    start = spark.range(1).select(F.lit(0).alias("id"), F.lit("x").alias("label"), F.lit(1.0).alias("value"))
+    return neighbors.diffuse(graph.normalize(graph.symmetrize(e)), start, 0.9, 2).select("id", F.round("value", 6).alias("value"))
+
+
+CLASSES = "SELECT quality AS y, CAST(n_chars % 1000 AS DOUBLE) / 1000 AS s FROM documents JOIN labels USING (doc_id)"
+
+
+@query("roc_auc_micro", f"WITH b AS ({CLASSES}), x AS (SELECT y, s FROM b UNION ALL SELECT 1 - y, 1 - s FROM b), r AS (SELECT y, rank() OVER (ORDER BY round(s, 9)) + (count(*) OVER (PARTITION BY round(s, 9)) - 1) / 2.0 AS r FROM x), c AS (SELECT CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS q, sum(CASE WHEN y = 1 THEN r ELSE 0 END) AS t FROM r) SELECT round((t - p * (p + 1) / 2) / (p * q), 6) AS value FROM c")
+def roc_auc_micro(spark, d):
+    return value(K.roc_auc_micro(two_classes(spark, d), "y", {1: "s", 0: "t"}))
+
+
+@query("roc_auc_macro", f"WITH x AS ({CLASSES}), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM x), c AS (SELECT CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS q, sum(CASE WHEN y = 1 THEN r ELSE 0 END) AS t FROM r) SELECT round((t - p * (p + 1) / 2) / (p * q), 6) AS value FROM c")
+def roc_auc_macro(spark, d):
+    return value(K.roc_auc_macro(two_classes(spark, d), "y", {1: "s", 0: "t"}))
+
+
+def two_classes(spark, d):
+    x = read(spark, d, "documents").select("doc_id", ((F.col("n_chars") % 1000).cast("double") / 1000).alias("s")).join(read(spark, d, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
+    return x.select("y", F.round("s", 9).alias("s"), F.round(1 - F.col("s"), 9).alias("t"))
+
+
+@query("class_minimum", "SELECT CAST(greatest(0, least(5, min(n))) AS BIGINT) AS folds FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)")
+def class_minimum(spark, d):
+    return spark.range(1).select(F.lit(learn.fold_count(read(spark, d, "customer"), "c_nationkey")).cast("long").alias("folds"))
+
+
+@query("max_over_frames", "SELECT label, round(max(embedding[1]), 6) AS a, round(max(embedding[2]), 6) AS b FROM embeddings GROUP BY label")
+def max_over_frames(spark, d):
+    from fernlake.sources.media import max_over_frames as pool
+
+    e = read(spark, d, "embeddings").groupBy("label").agg(F.collect_list(F.slice("embedding", 1, 2)).alias("frames"))
+    return pool(e, "label", "frames").select("label", *[F.round(F.col("pooled")[i], 6).alias(n) for i, n in enumerate("ab")])
+
+
+@query("pair_truncation", "WITH p AS (SELECT doc_id, len(string_split(text, ' ')) AS a, len(string_split(lang || ' ' || source || ' x y z', ' ')) AS b FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(CASE WHEN a + b <= 12 THEN a WHEN b <= 6 THEN 12 - b ELSE 6 END AS BIGINT) AS na, CAST(b AS BIGINT) AS nb FROM p")
+def pair_truncation(spark, d):
+    x = read(spark, d, "documents").filter("text is not null")
+    a, b = S.truncated_pair(F.split("text", " "), F.split(F.concat_ws(" ", "lang", "source", F.lit("x y z")), " "), 12)
+    return x.select("doc_id", F.size(a).cast("long").alias("na"), F.size(b).cast("long").alias("nb"))

@@ -46,12 +46,17 @@ def warmup(step: Column, warm: float, total: float) -> Column:
     return F.when(x < warm, x / warm).otherwise(F.greatest((1 - x) / F.lit(1 - warm), F.lit(0.0)))
 
 
+def _difference(a: Column, b: Column) -> Column:
+    """Differences in double precision, whatever the arrays hold."""
+    return F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(_difference(a, b), F.lit(0.0), lambda s, x: s + x * x)
 
 
 def manhattan(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(_difference(a, b), F.lit(0.0), lambda s, x: s + F.abs(x))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,7 +68,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def chebyshev(a: Column, b: Column) -> Column:
-    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")))
+    return F.array_max(F.transform(_difference(a, b), F.abs))
 
 
 DISTANCES = {"sqeuclidean": squared_distance, "euclidean": lambda a, b: F.sqrt(squared_distance(a, b)), "cityblock": manhattan, "cosine": cosine_distance, "chebyshev": chebyshev}
