@@ -220,3 +220,26 @@ def test_remaining(spark):
     e = reshape.must_match(a, spark.createDataFrame([(1, 5)], "id long, n int"), "id")
     with pytest.raises(Exception, match="no match"):
         e.collect()
+
+
+def test_persist(spark, table, tmp_path):
+    from fernlake.plans import persist
+
+    for made, empty in ((encode.OneHotEncoder().fit(table), encode.OneHotEncoder()), (encode.BinaryEncoder(min_binary=3).fit(table), encode.BinaryEncoder()), (clean.Imputer().fit(table), clean.Imputer())):
+        persist.save(made, str(tmp_path / type(made).__name__))
+        again = persist.load(empty, str(tmp_path / type(made).__name__))
+        assert sorted(map(str, again.transform(table).collect())) == sorted(map(str, made.transform(table).collect()))
+    rows = spark.createDataFrame([(i, float(i % 5), "a" if i % 5 < 2 else "b") for i in range(50)], "id long, x double, y string")
+    forest = learn.Forest(n_estimators=2, num_fits=1).fit(rows, "y", "id", ["x"])
+    persist.save(forest, str(tmp_path / "forest"))
+    again = persist.load(learn.Forest(), str(tmp_path / "forest"))
+    assert again.predict(rows, "id").join(rows, "id").filter("prediction != y").count() == 0
+
+
+def test_biases():
+    from fernlake.operators.adjust import class_biases, f1_macro
+
+    rng = np.random.default_rng(0)
+    y = (rng.random(400) < 0.1).astype(int)
+    s = np.column_stack([np.full(400, 0.6), 0.4 * y + 0.3 * rng.random(400)])
+    assert f1_macro(y, (s + class_biases(s, y)).argmax(axis=1), 2) >= f1_macro(y, s.argmax(axis=1), 2)
