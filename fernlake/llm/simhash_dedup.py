@@ -40,7 +40,7 @@ from fernlake.llm.components import components
 
 BITS = 256
 WIDTH = 40
-TABLES = 10
+TABLES = 16
 RADIUS = 2
 MAX_DISTANCE = 38
 #: Dropped doc_ids up to this number are broadcast; more are joined by a shuffle.
