@@ -3,15 +3,15 @@
 Texts are exploded into pre-tokens; the merges of byte-pair encoding stay inside a
 pre-token, so each distinct pre-token of the corpus is encoded once:
 
-1. documents are dealt by hash to chunks of about ``CHUNK_BYTES`` of text;
-2. each chunk's distinct pre-tokens go to the word's shuffle partition with their chunk, where equal words
-   meet from all chunks and are encoded once;
-3. the ids are joined back to the chunks that hold the word;
+1. documents are dealt by hash to chunks of about ``CHUNK_BYTES`` of text, the one shuffle of the texts, in compressed blocks;
+2. each chunk's distinct pre-tokens, in sorted order, go to the shard of the word's hash, where equal words
+   of all chunks meet and are encoded once; they travel packed, a row for each chunk and shard;
+3. the ids are joined back to the chunks that hold the word by its position among the chunk's sorted words;
 4. each chunk's texts meet the chunk's words, and the ids are put in place by the position of the pre-token.
 
-Between the steps only distinct words of a chunk move, not occurrences: positions stay where the text is, so the
-shuffle is about the text itself, once. The chunk number depends on the row alone,
-so a lost task recomputes the same chunk.
+Between the steps only distinct words of a chunk move, not occurrences: positions stay where the text is. The chunk
+number depends on the row alone and the order of a chunk's words on the words alone, so a lost task recomputes
+the same rows. The texts' shuffle is planned once and read twice (the exchange is reused).
 
 Decoding joins the token-byte table by id: the ids of a batch, flattened with their positions, gather the
 bytes of the vocabulary's table, and the documents' bytes are cut at their positions.
@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm.common import TOKENIZERS, pick, table
+from fernlake.llm.common import TOKENIZERS, packed, table, unpacked
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text of a chunk. A task holds the chunk's distinct words; texts stream past them.
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 16_000_000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -49,99 +49,119 @@ def ranks(vocabulary: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=1)
 def splitter():
+    """Pre-tokens of a text. The standard library's expressions are twice as fast and agree on characters up to U+024F
+    but for a few numerals and separators; texts with any other go to the full pattern."""
+    import re
+
     import regex
 
-    return regex.compile(PATTERN).findall
-
-
-def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the adjacent pair of the lowest rank is merged, the first of equals, until none is known."""
-    if (whole := rank.get(word)) is not None:
-        return [whole]
-    if len(word) > 64:
-        return merge_long(word, rank)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = rank.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [rank[p] for p in parts]
-
-
-def merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
-    """As ``merge``, with a heap and linked neighbours: n log n for words of any length."""
-    import heapq
-
-    n = len(word)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    alive = [True] * n
-    while heap:
-        _, i, j, e = heapq.heappop(heap)
-        if not alive[i] or after[i] != j or j >= n or not alive[j] or end[j] != e:
-            continue
-        end[i], after[i], alive[j] = e, after[j], False
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := rank.get(word[i : end[after[i]]])) is not None:
-                heapq.heappush(heap, (r, i, after[i], end[after[i]]))
-        if (k := before[i]) >= 0 and (r := rank.get(word[k:e])) is not None:
-            heapq.heappush(heap, (r, k, i, e))
-    return [rank[word[i : end[i]]] for i in range(n) if alive[i]]
-
-
-def chunked(d: DataFrame, chunk_bytes: int) -> DataFrame:
-    """The rows with ``chunk``, a hash of the row over as many chunks as the texts' size asks for."""
+    full = regex.compile(PATTERN).findall
+    fast = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
+    other = re.compile("[^\0-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
+    return lambda text: full(text) if other(text) else fast(text)
+
+
+@lru_cache(maxsize=2)
+def word_encoder(vocabulary: str):
+    """Ids of the bytes of one pre-token by its merges; the merges run in the vocabulary's library."""
+    import tiktoken
+
+    return tiktoken.Encoding("fernlake", pat_str=PATTERN, mergeable_ranks=ranks(vocabulary), special_tokens={})._encode_single_piece
+
+
+def chunked(d: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """The rows with ``chunk``, a hash of the row over as many chunks as the texts' size asks for; as many shards for words."""
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return d.withColumn("chunk", F.pmod(F.xxhash64(*d.columns), F.lit(max(1, -(-size // chunk_bytes)))).cast("int"))
+    chunks = max(1, -(-size // chunk_bytes))
+    shards = max(1, min(chunks, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return d.withColumn("chunk", F.pmod(F.xxhash64(*d.columns), F.lit(chunks)).cast("long")), shards
 
 
-def chunk_words(d: DataFrame) -> DataFrame:
-    """chunk, word: the distinct pre-tokens of each chunk, first made distinct in each batch."""
+def pack(words: list[str], numbers: list[int]) -> tuple[bytes, bytes]:
+    """Words and their growing numbers, compressed; a word may hold any character."""
+    import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen, n = splitter(), {}, 0
+    data = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, data), np.uint32, len(data))
+    gaps = np.diff(np.array(numbers, np.uint32), prepend=np.uint32(0)).astype(np.uint32)
+    z = zstandard.ZstdCompressor(level=3)
+    return z.compress(np.uint32(len(data)).tobytes() + sizes.tobytes() + b"".join(data)), z.compress(gaps.tobytes())
 
-        def out():
-            words = [w for ws in seen.values() for w in ws]
-            chunks = np.repeat(np.fromiter(seen, np.int32, len(seen)), [len(ws) for ws in seen.values()])
-            return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(words, pa.string())], ["chunk", "word"])
 
-        for b in batches:
-            for c, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ws = seen.setdefault(c, set())
-                n -= len(ws)
-                ws.update(split(t.as_py()))
-                n += len(ws)
-                if n > 1_000_000:
-                    yield out()
-                    seen, n = {}, 0
-        yield out()
+def unpack(packed: bytes) -> list[str]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = 4 + 4 * n + np.frombuffer(raw, np.uint32, n, 4).cumsum(dtype=np.int64)
+    starts = np.concatenate([[4 + 4 * n], ends[:-1]]) if n else ends
+    return [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
 
-    return d.select("chunk", "text").mapInArrow(run, "chunk int, word string")
 
+def chunk_words(rows: DataFrame, shards: int) -> DataFrame:
+    """shard, chunk, words, numbers: the distinct pre-tokens of each chunk with their positions in sorted order.
 
-def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """chunk, word, ids: every distinct word encoded once, then joined back to its chunks."""
+    ``rows`` are blocks partitioned by chunk, so a task sees all of each of its chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks(vocabulary)
+        import xxhash
+
+        split = splitter()
+
+        def out(chunk, words):
+            by: dict[int, tuple[list, list]] = {}
+            for i, w in enumerate(sorted(words)):
+                ws, ns = by.setdefault(xxhash.xxh3_64_intdigest(w) % shards, ([], []))
+                ws.append(w)
+                ns.append(i)
+            rows_ = [(s, chunk, *pack(*x)) for s, x in by.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "chunk", "words", "numbers"])
+
+        now, words = None, set()
         for b in batches:
-            ids = [merge(w.encode(), rank) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), b.column(1)], ["word", "ids", "chunks"])
+            for c, block in zip(b.column(0).to_pylist(), b.column(1)):
+                if c != now and words:
+                    yield out(now, words)
+                    words = set()
+                now = c
+                for t in unpacked(block.as_py()).column("text"):
+                    words.update(split(t.as_py()))
+        if words:
+            yield out(now, words)
 
-    once = words.groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
-    return once.mapInArrow(run, "word string, ids array<int>, chunks array<int>").select(F.explode("chunks").alias("chunk"), "word", "ids")
+    # in order of the chunks, so that a task holds the words of one chunk at a time
+    return rows.sortWithinPartitions("chunk").mapInArrow(run, "shard int, chunk long, words binary, numbers binary")
 
 
-def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES, keep: bool = False) -> DataFrame:
-    """doc_id (or, with ``keep``, all columns), token_ids; one row for each input row."""
+def encoded_words(words: DataFrame, shards: int, vocabulary: str) -> DataFrame:
+    """chunk, numbers, sizes, ids: every distinct word encoded once in its shard, and its ids sent to each chunk that holds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        encoded, once, z = word_encoder(vocabulary), {}, zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            sizes, ids = [], []
+            for packed in b.column(2):
+                found = []
+                for w in unpack(packed.as_py()):
+                    if (x := once.get(w)) is None:
+                        x = once[w] = np.array(encoded(w.encode()), np.uint32).tobytes()
+                    found.append(x)
+                sizes.append(z.compress((np.fromiter(map(len, found), np.uint32, len(found)) // 4).tobytes()))
+                ids.append(z.compress(b"".join(found)))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "numbers", "sizes", "ids"])
+
+    return words.repartition(shards, "shard").mapInArrow(run, "chunk long, numbers binary, sizes binary, ids binary")
+
+
+def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, chunk_bytes: int = CHUNK_BYTES, keep: bool = False, decoded: str | None = None) -> DataFrame:
+    """doc_id (or, with ``keep``, all columns), token_ids; one row for each input row.
+
+    ``decoded`` names a further column for the text decoded from the ids, made by the same worker as they are: a worker for
+    encoding and one for decoding in each task would double what Python holds.
+    """
     path = f"{tokenizers}/{vocabulary}"
     names = [c for c in docs.columns if c.lower() not in ("token_ids", "n_tokens")] if keep else ["doc_id"]
     flat = docs.toDF(*[f"__in_{i}" for i in range(len(docs.columns))])
@@ -150,36 +170,58 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCA
     if not keep:
         carried = carried[:1]
     d = flat.select(*carried, text.alias("text"))
-    full = chunked(d.filter("text is not null"), chunk_bytes)
-    words = encoded_words(chunk_words(full), path)
-    other = [c for c in carried if keep is False or c != f"__in_{docs.columns.index('text')}"]
-    rows = full.select("chunk", "text", *other)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("text", *other).schema) + ", token_ids array<int>"
+    other = [c for c in carried if not keep or c != f"__in_{docs.columns.index('text')}"]
+    full, shards = chunked(d.filter("text is not null"), chunk_bytes)
+    full = full.select("chunk", "text", *other)
+    rows = packed(full).repartition("chunk")
+    words = encoded_words(chunk_words(rows, shards), shards, path)
+    texts_too = keep  # the query needs the ids only
+    carried_over = full.select(*(["text"] if texts_too else []), *other)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried_over.schema) + ", token_ids array<int>" + (f", `{decoded}` string" if decoded else "")
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        split = splitter()
-        number = dict(zip(right.column("word").to_pylist(), range(right.num_rows)))
-        ids = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        starts, flat_ids = ids.offsets.to_numpy() if len(ids) else np.zeros(1, np.int32), np.asarray(ids.values)
-        sizes = np.diff(starts)
-        offsets, parts = [0], []
-        for t in left.column("text"):
+        import zstandard
+
+        split, z = splitter(), zstandard.ZstdDecompressor()
+        number: dict[str, int] = {}
+        texts = []  # numbers of each text's words, as first seen
+        tables = [unpacked(b.as_py()) for b in left.column("block")]
+        for t in (t for table_ in tables for t in table_.column("text")):
             ws = split(t.as_py())
-            w = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
+            texts.append(np.fromiter([number.setdefault(w, len(number)) for w in ws], np.int32, len(ws)))
+        rank_of = np.empty(len(number), np.int64)  # place among the sorted words
+        rank_of[np.fromiter((number[w] for w in sorted(number)), np.int64, len(number))] = np.arange(len(number))
+        del number, split
+        sizes, which, flat_ids = np.zeros(len(rank_of), np.int64), [], []
+        for k, n, i in zip(*(right.column(c).to_pylist() for c in ("numbers", "sizes", "ids"))):
+            at = np.frombuffer(z.decompress(k), np.uint32).cumsum(dtype=np.int64)
+            sizes[at] = np.frombuffer(z.decompress(n), np.uint32)
+            which.append(at)
+            flat_ids.append(np.frombuffer(z.decompress(i), np.uint32).astype(np.int32))
+        order = np.concatenate(which) if which else np.zeros(0, np.int64)
+        flat_ids = np.concatenate(flat_ids) if flat_ids else np.zeros(0, np.int32)
+        starts = np.zeros(len(rank_of), np.int64)
+        starts[order] = sizes[order].cumsum() - sizes[order]
+        offsets, parts = [0], []
+        for w in texts:
+            w = rank_of[w]
             n = sizes[w]
             total = int(n.sum())
-            at = np.repeat(starts[:-1][w] - np.concatenate([[0], n.cumsum()[:-1]]) if len(w) else np.zeros(0, np.int64), n) + np.arange(total)
-            parts.append(flat_ids[at])
+            parts.append(flat_ids[np.repeat(starts[w] - (n.cumsum() - n), n) + np.arange(total)])
             offsets.append(offsets[-1] + total)
         values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32), pa.int32()))
-        return left.drop_columns(["chunk"]).append_column("token_ids", out)
+        done = pa.concat_tables(tables).drop_columns(["chunk"] if texts_too else ["chunk", "text"]).append_column("token_ids", out)
+        if decoded:
+            done = done.append_column(decoded, decode_array(out, *token_bytes(path)))
+        pa.default_memory_pool().release_unused()
+        return done
 
     placed = rows.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(place, schema)
-    empty = d.filter("text is null").select("text", *other, F.lit(None).cast("array<int>").alias("token_ids"))
+    empty = d.filter("text is null").select(*(["text"] if texts_too else []), *other, F.lit(None).cast("array<int>").alias("token_ids"), *([F.lit(None).cast("string").alias(decoded)] if decoded else []))
     both = placed.unionByName(empty)
     out = [F.col("text" if c == f"__in_{docs.columns.index('text')}" else c).alias(docs.columns[int(c[5:])]) for c in carried]
-    return both.select(*out, "token_ids")
+    return both.select(*out, "token_ids", *([decoded] if decoded else []))
 
 
 def decode(df: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -238,7 +280,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again from its ids alone."""
-    d = decode(encode(table(spark, sf_dir, "documents")))
+    d = encode(table(spark, sf_dir, "documents"), decoded="decoded")
     return d.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.col("decoded").alias("text"))
 
 
