@@ -174,6 +174,31 @@ def test_repeats(spark):
     assert chain_dedup.repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_of_overlapping_quotes(spark):
+    rng = random.Random(31)
+    popular = [f"p{i}" for i in range(400)]
+    rows, at = [], []
+    for i in range(1500):
+        n = rng.choice([13, 16, 20, 55])
+        s = rng.randrange(len(popular) - n)
+        fill = [f"d{i}w{j}" for j in range(20)]
+        rows.append((i, " ".join(fill[:10] + popular[s : s + n] + fill[10:])))
+        at.append((s, s + n))
+    got = {r["doc_id"]: r["c"] for r in chain_dedup.repeats(frame(spark, rows)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("c")).collect()}
+    docs = words = found = covered = 0
+    for i, (s, e) in enumerate(at):
+        shared = set()
+        for j, (x, y) in enumerate(at):
+            if j != i and min(e, y) - max(s, x) >= 50:
+                shared |= set(range(max(s, x), min(e, y)))
+        if not shared:
+            continue
+        docs, words, found = docs + 1, words + len(shared), found + (i in got)
+        for m in re.finditer(r"\bp(\d+)\b", rows[i][1]):
+            covered += int(m[1]) in shared and any(r["start"] <= m.start() and m.end() <= r["end"] for r in got.get(i, ()))
+    assert docs > 300 and found == docs and covered >= 0.99 * words, (docs, found, words, covered)
+
+
 # 4 byte-level BPE
 
 
