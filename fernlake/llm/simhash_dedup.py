@@ -5,11 +5,12 @@ weighted by the square root of their counts. ``TABLES`` fingerprints of
 ``WIDTH`` bits are drawn from it. To find all pairs of fingerprints within
 Hamming distance ``RADIUS`` = 2, every fingerprint emits all variants within half the
 radius (itself and each with one bit flipped); two fingerprints lie within the
-radius exactly when they emit a common variant. The variants are shuffled, sorted, and
-members of one variant are linked to the one before and to the first, which
-connects them as all their pairs would, in a number of links that grows with the
-members and not with their square. Links are deduplicated and verified on the
-whole signature (at most ``MAX_DISTANCE`` bits differ), then closed to groups.
+radius exactly when they emit a common variant. The variants are shuffled and sorted.
+Of up to ``CROWD`` members of one variant all pairs are linked, and the links are deduplicated and verified on the
+whole signature (at most ``MAX_DISTANCE`` bits differ). Larger sets of members are deduplicated (a cluster shares most
+of its variants) and joined to their signatures; within each set a search from member to member, over those not yet reached, finds the
+verified links that connect all that verified pairs would, near clusters in linear time. So every pair that meets is verified or
+connected by verified links, which are then closed to groups.
 
 Equal signatures (exact copies, white space, case, punctuation) are one node from the
 start, so thousands of copies emit once. Nothing is capped and no bucket is skipped.
@@ -43,6 +44,8 @@ WIDTH = 40
 TABLES = 16
 RADIUS = 2
 MAX_DISTANCE = 38
+#: Members of one variant of which all pairs are linked; more are searched with their signatures.
+CROWD = 8
 #: Dropped doc_ids up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 WORD = re.compile(r"\w+")
@@ -114,8 +117,31 @@ def sign(docs: DataFrame) -> DataFrame:
     return d.filter("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, sig binary").filter("sig is not null")
 
 
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.ChunkedArray]]:
+    """The columns of ordered batches, divided anew so that rows equal in the first column come together."""
+    held: list[pa.RecordBatch] = []
+
+    def columns(parts):
+        t = pa.Table.from_batches(parts)
+        return [c.to_numpy() if pa.types.is_integer(c.type) else c for c in t.columns]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v = b.column(0).to_numpy()
+        at = int(np.searchsorted(v, v[-1]))
+        if held and (at or held[-1].column(0)[-1].as_py() != v[0]):
+            yield columns([*held, b.slice(0, at)])
+            held = []
+        elif at:
+            yield columns([b.slice(0, at)])
+        held.append(b.slice(at))
+    if held:
+        yield columns(held)
+
+
 def links(nodes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """Distinct links (a, b) of nodes that emit a common variant: each with the one before and the first of the variant."""
+    """Distinct (a, b, crowd): the pairs of nodes that emit a common variant or, where ``crowd``, a set of more than ``CROWD`` such nodes (a) and its member (b)."""
     bits = drawn(tables)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,25 +155,72 @@ def links(nodes: DataFrame, tables: int = TABLES) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(variants.ravel()), pa.array(own)], ["variant", "node"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # variant, first and last node of the group that the batch before ended in
-        for b in batches:
-            v, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(v):
-                continue
-            new = np.concatenate([[True], v[1:] != v[:-1]])
-            first = n[np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))]
-            before = np.concatenate([n[:1], n[:-1]])
-            if last and v[0] == last[0]:
-                head = int(np.argmin(np.cumsum(new) == 1)) or len(v)
-                first[:head], before[0], new[0] = last[1], last[2], False
-            last = (v[-1], first[-1], n[-1])
-            a, c = np.concatenate([before[~new], first[~new]]), np.concatenate([n[~new], n[~new]])
-            pairs = np.unique(np.column_stack([np.minimum(a, c), np.maximum(a, c)])[a != c], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        import xxhash
+
+        def batch(a, b, crowd):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowd))], ["a", "b", "crowd"])
+
+        for v, n in whole(batches):
+            starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(v)]]))
+            few = np.repeat(sizes <= CROWD, sizes)
+            found = []
+            for d in range(1, CROWD):
+                i = np.flatnonzero((v[d:] == v[:-d]) & few[d:])
+                if not len(i):
+                    break
+                found.append(np.column_stack([n[i], n[i + d]]))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)  # nodes are in order within a variant
+                yield batch(pairs[:, 0], pairs[:, 1], False)
+            sets = {}
+            for s, m in zip(starts[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist()):
+                members = n[s : s + m]
+                sets[xxhash.xxh3_64_intdigest(members.tobytes())] = members
+            if sets:
+                names = np.repeat(np.array(list(sets), np.uint64).view(np.int64), [len(m) for m in sets.values()])
+                yield batch(names, np.concatenate(list(sets.values())), True)
 
     emitted = nodes.select("node", "sig").mapInArrow(emit, "variant long, node long")
     met = emitted.repartition("variant").sortWithinPartitions("variant", "node")
-    return met.mapInArrow(meet, "a long, b long").distinct()
+    return met.mapInArrow(meet, "a long, b long, crowd boolean").distinct()
+
+
+def reached(sigs: np.ndarray, max_distance: int) -> tuple[list[int], list[int]]:
+    """Links (from, to) of near signatures that connect what all links of near ones would."""
+    words, left, a, b = np.ascontiguousarray(sigs).view(np.uint64), np.arange(len(sigs)), [], []
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            close = np.bitwise_count(words[left] ^ words[x]).sum(axis=1) <= max_distance
+            hit = left[close].tolist()
+            if hit:
+                a += [x] * len(hit)
+                b += hit
+                todo += hit
+                left = left[~close]
+    return a, b
+
+
+def searched(crowds: DataFrame, nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Verified links (a, b) within each set of nodes (a: the set, b: the node)."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, n, sigs in whole(batches):
+            sigs = np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            edges = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]]).tolist()
+            out = []
+            for s, e in zip(edges[:-1], edges[1:]):
+                a, b = reached(sigs[s:e], max_distance)
+                if a:
+                    out.append(np.column_stack([n[s:e][a], n[s:e][b]]))
+            if out:
+                pairs = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    sets = crowds.select(F.col("a").alias("name"), F.col("b").alias("node")).join(nodes.select("node", "sig"), "node")
+    return sets.select("name", "node", "sig").repartition("name").sortWithinPartitions("name", "node").mapInArrow(search, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -171,8 +244,9 @@ def decide_signed(signed: DataFrame, tables: int = TABLES, max_distance: int = M
     """
     distinct = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
-    near = cut(verified(links(nodes, tables), nodes, max_distance))
-    roots = components(near)
+    met = cut(links(nodes, tables))
+    near = verified(met.filter("not crowd").select("a", "b"), nodes, max_distance).union(searched(met.filter("crowd"), nodes, max_distance))
+    roots = components(cut(near))
     of = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = of.groupBy("root").agg(F.min("least").alias("group_id"), F.sum("n").alias("group_size"))
     return of.join(groups, "root").select("sig", "group_id", "group_size")

@@ -430,6 +430,31 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_crowded_buckets(spark):
+    rng = np.random.default_rng(12)
+    own = simhash_dedup.drawn(1)[0]
+    rest = np.setdiff1d(np.arange(simhash_dedup.BITS), own)
+    rows = []
+    for pairs in (3, 40, 1):  # of one fingerprint: 6, 80 and 2 members, near in pairs only
+        template = rng.integers(0, 2, simhash_dedup.BITS, np.uint8)
+        for _ in range(pairs):
+            x = template.copy()
+            x[rest] = rng.integers(0, 2, len(rest))
+            y = x.copy()
+            y[rng.choice(rest, 30, replace=False)] ^= 1
+            rows += [np.packbits(x), np.packbits(y)]
+    cluster = rng.integers(0, 2, simhash_dedup.BITS, np.uint8)
+    for i in range(30):  # near to the one before only
+        cluster[rest[i * 7 % len(rest)]] ^= 1
+        cluster[rng.choice(rest, 15, replace=False)] ^= 1
+        rows.append(np.packbits(cluster))
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(rows)], "doc_id long, sig binary")
+    ids = {s.tobytes(): i for i, s in enumerate(rows)}
+    got = {ids[bytes(r["sig"])]: (r["group_id"], r["group_size"]) for r in simhash_dedup.decide_signed(df, tables=1).collect()}
+    assert all(got[i] == (i // 2 * 2, 2) for i in range(88))
+    assert all(got[i] == (88, 30) for i in range(88, 118))
+
+
 def test_near_duplicates(spark):
     rng = random.Random(6)
     rows, pairs = [], []
