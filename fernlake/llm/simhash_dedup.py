@@ -105,16 +105,16 @@ def ball(prints: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, sig for each row with words."""
+    """doc_id, sig for each row; sig is null where doc_id is null or the text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
         for b in batches:
-            sigs = [signer(t.as_py()) for t in b.column(1)]
+            sigs = [signer(t.as_py()) if i.is_valid else None for i, t in zip(*b.columns)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["doc_id", "sig"])
 
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.filter("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, sig binary").filter("sig is not null")
+    return d.mapInArrow(run, "doc_id long, sig binary")
 
 
 def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.ChunkedArray]]:
@@ -242,7 +242,7 @@ def decide_signed(signed: DataFrame, tables: int = TABLES, max_distance: int = M
 
     Nodes are numbered, not hashed: each is sent with every variant, and small numbers compress where hashes don't.
     """
-    distinct = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    distinct = cut(signed.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     met = cut(links(nodes, tables))
     near = verified(met.filter("not crowd").select("a", "b"), nodes, max_distance).union(searched(met.filter("crowd"), nodes, max_distance))
@@ -257,8 +257,7 @@ def decide(docs: DataFrame, tables: int = TABLES, max_distance: int = MAX_DISTAN
     signed = cut(sign(docs))
     grouped = signed.join(decide_signed(signed, tables, max_distance), "sig")
     grouped = grouped.select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("keep"))
-    ids = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    alone = ids.filter(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\w"))
+    alone = signed.filter("sig is null")
     return grouped.unionByName(alone.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep")))
 
 
@@ -268,7 +267,7 @@ def dedup(docs: DataFrame, tables: int = TABLES, max_distance: int = MAX_DISTANC
     of = decide_signed(signed, tables, max_distance)
     rows = signed.join(of, "sig")
     lost = cut(rows.filter("doc_id != group_id").select("doc_id").distinct())
-    n_lost, n_rows, n_ids = lost.count(), *signed.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    n_lost, n_rows, n_ids = lost.count(), *signed.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     flat = docs.toDF(*[f"__in_{i}" for i in range(len(docs.columns))])
     own = flat.withColumn("__fl_id", F.col(f"__in_{docs.columns.index('doc_id')}").cast("long"))
     if n_rows != n_ids:  # a doc_id stands for several texts: decide by row

@@ -455,6 +455,18 @@ def test_crowded_buckets(spark):
     assert all(got[i] == (88, 30) for i in range(88, 118))
 
 
+def test_rows_without_words(spark):
+    texts = ["\u2764\ufe0f", "\U0001f468\u200d\U0001f469", "\u0301\u0301", "\u203f", "\u00bd", "\u00bd", "words here", None, "", "words here"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "\u00bd"), (9, "\ufe0f")]
+    got = simhash_dedup.decide(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted((i for i, _ in rows), key=str)
+    groups = {(r["doc_id"], r["group_id"], r["group_size"], r["keep"]) for r in got}
+    assert {(4, 4, 2, True), (5, 4, 2, False), (6, 6, 2, True), (9, 6, 2, False), (9, 9, 1, True)} <= groups
+    assert {(i, i, 1, True) for i in (0, 1, 2, 3, 7, 8)} | {(None, None, 1, True)} <= groups
+    kept = [(r[0], r[1]) for r in simhash_dedup.dedup(frame(spark, rows)).collect()]
+    assert len(kept) == len(rows) - 2 and (9, "\ufe0f") in kept
+
+
 def test_near_duplicates(spark):
     rng = random.Random(6)
     rows, pairs = [], []
