@@ -9,7 +9,7 @@ all sets that hold every ancestor of each of their members, so that no content
 lies inside what was called boilerplate.
 
 The trees are trained here, by distant supervision: on at most
-``MAX_TRAIN_PAGES`` pages (lowest hashes of page_id) that mark their parts with
+``MAX_TRAIN_PAGES`` pages (lowest hashes of page_id among all) that mark their parts with
 semantic elements (article or main against nav, aside, header, footer, form or
 blocks with advertising tokens). Those elements' names and roles are not among
 the features, so that the trees also work where pages don't use them.
@@ -314,6 +314,21 @@ def extract(batch: list[str | None], trees: Trees | None) -> list[tuple[str | No
     return out
 
 
+def teaches(nodes: list[Node]) -> bool:
+    """Whether a page marks both content and other parts."""
+    return {v.label for v in nodes} >= {True, False}
+
+
+def teaching(pages: DataFrame) -> DataFrame:
+    """The page_ids of all pages that can teach; only those that name an article or main element are parsed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[teaches(parse(h)) for h in b["html"]], ["page_id"]]
+
+    return pages.filter(F.col("html").rlike("(?i)<(?:article|main)")).select(F.col("page_id").cast("long"), "html").mapInPandas(run, "page_id long").distinct()
+
+
 def labelled_nodes(pages: DataFrame) -> DataFrame:
     """Label and features of the nodes with text of pages that use semantic elements."""
 
@@ -322,7 +337,7 @@ def labelled_nodes(pages: DataFrame) -> DataFrame:
             out = []
             for page, h in zip(b["page_id"], b["html"]):
                 nodes = parse(h)
-                if {v.label for v in nodes} >= {True, False}:
+                if teaches(nodes):
                     x = features(nodes)
                     out += [(int(page), k, bool(v.label), x[k].tolist()) for k, v in enumerate(nodes) if v.label is not None and x[k, 1] > 0]
             yield pd.DataFrame(out, columns=["page_id", "node", "label", "x"])
@@ -333,7 +348,7 @@ def labelled_nodes(pages: DataFrame) -> DataFrame:
 def fit(pages: DataFrame, max_pages: int = MAX_TRAIN_PAGES, max_nodes: int = MAX_TRAIN_NODES) -> Trees | None:
     """Trees trained on a bounded number of pages and nodes, or None where no page can teach."""
     p = pick(pages, "page_id", "html").filter("page_id is not null and html is not null and length(html) > 0")
-    ids = [r[0] for r in p.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).collect()]
+    ids = [r[0] for r in teaching(p).orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).collect()]
     if not ids:
         return None
     rows = labelled_nodes(p.filter(F.col("page_id").isin(ids))).orderBy(F.xxhash64("page_id", "node"), "page_id", "node").limit(max_nodes).toPandas()

@@ -516,6 +516,15 @@ def test_html(spark):
     assert html_extract.fit(spark.createDataFrame([], "page_id long, html string")) is None
 
 
+def test_html_learns_from_rare_pages(spark):
+    plain = [(i, f"<div><p>{i} plain</p></div>") for i in range(300)]
+    marked = [(300 + i, f"<nav><p>menu {i}</p></nav><article><p>Text of {i}, which goes on.</p></article>") for i in range(3)]
+    pages = spark.createDataFrame(plain + marked, "page_id long, html string")
+    assert sorted(r[0] for r in html_extract.teaching(pages).collect()) == [300, 301, 302]
+    assert html_extract.fit(pages, max_pages=5) is not None
+    assert html_extract.fit(pages.filter("page_id < 300"), max_pages=5) is None
+
+
 # the pipeline
 
 
