@@ -174,6 +174,24 @@ def test_repeats(spark):
     assert chain_dedup.repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_with_edits(spark):
+    rng, rows, kinds = random.Random(8), [], {}
+    for words, share in ((50, 0.1), (50, 0.15), (60, 0.2), (80, 0.2)):
+        for _ in range(40):
+            i = len(rows)
+            q = [f"q{i}x{j}" for j in range(words)]
+            v = list(q)
+            for j in rng.sample(range(1, words - 1), round(words * share)):
+                v[j] = f"r{i}x{j}"
+            for t in (q, v):
+                kinds[len(rows)] = words, share
+                rows.append((len(rows), " ".join([f"a{len(rows)}w{j}" for j in range(30)] + t + [f"b{len(rows)}w{j}" for j in range(30)])))
+    got = {r["doc_id"] for r in chain_dedup.repeats(frame(spark, rows)).collect()}
+    for kind in set(kinds.values()):
+        of = [i for i, x in kinds.items() if x == kind]
+        assert len(got.intersection(of)) >= 0.85 * len(of), (kind, len(got.intersection(of)), len(of))
+
+
 def test_repeats_of_overlapping_quotes(spark):
     rng = random.Random(31)
     popular = [f"p{i}" for i in range(400)]
