@@ -5,7 +5,7 @@ of all formats; a validator for each format then confirms the structure at the
 place found (chunk lengths and checksums, box, page and segment chains, central
 directories) and gives the length in bytes. What is confirmed at offset 0, or
 recognised as markup, is the blob's true type, which corrects the declared one;
-what is confirmed further on is carved as embedded media. Base64 ``data:``
+what is confirmed further on, inside containers too, is carved as embedded media. ``data:``
 addresses inside markup are decoded and sniffed the same way.
 
 It is a projection in Arrow batches without a shuffle; whole blobs are read.
@@ -14,7 +14,8 @@ Defined results, one row for each input row:
 * null blob: detected null, no embedded media, not valid, not corrected;
 * empty blob: detected ``empty``; unknown bytes: detected ``application/octet-stream``;
 * null or empty declared type: ``corrected`` is true if a type was confirmed;
-* embedded media lie outside one another: of overlapping ones the first, then longest, stays;
+* embedded media lie outside or within one another, and not within one of their own kind: of overlapping ones the first, then longest, stays;
+* content of data addresses, base64 or percent-encoded, and media inside it are given at the place of the address;
 * repeated rows and repeated or null keys give a row each; empty tables give empty results; extra columns are ignored.
 """
 
@@ -27,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -353,6 +355,8 @@ MARKUP = (
     ("application/xml", re.compile(rb"(?is)\s*<\?xml\s[^>]*\?>")),
 )
 DATA = re.compile(rb"data:([\w.+-]+/[\w.+-]+)?((?:;[\w-]+=[^;,\"'\s]*)*);base64,([A-Za-z0-9+/=\s%]+)")
+#: Addresses with a type whose content is percent-encoded; it ends at the quote before it or, without one, at white space, quotes or brackets.
+PERCENT = re.compile(rb"(?s)([\"'])?data:([\w.+-]+/[\w.+-]+)((?:;[\w-]+(?:=[^;,\"'\s]*)?)*),((?(1).*?(?=\1)|[^\s\"'<>()]+))")
 
 
 @lru_cache(maxsize=1)
@@ -367,22 +371,37 @@ def automaton():
 
 
 def confirmed(b: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, type) of every confirmed signature outside one another, by position; one at 0 covers only itself."""
+    """(start, end, type) of every confirmed signature by position; each lies within another or outside it, and not in one of its own kind."""
     hits = sorted({(end - span, v.__name__): v for end, (span, v) in automaton().iter(b.decode("latin-1")) if end >= span}.items(), key=lambda x: x[0])
     out: list[tuple[int, int, str]] = []
-    done, i = 0, 0
+    done: dict[str, int] = {}
+    around: list[int] = []  # ends of those that hold the place, the innermost last
+    i = 0
     while i < len(hits):
-        start, best = hits[i][0][0], None
+        start, best, name = hits[i][0][0], None, ""
+        while around and around[-1] <= start:
+            around.pop()
         while i < len(hits) and hits[i][0][0] == start:
-            if start >= done and (found := hits[i][1](b, start)) and (best is None or found[1] > best[1]):
-                best = found
+            (_, kind), validator = hits[i]
+            if start >= done.get(kind, 0) and (found := validator(b, start)):
+                if around and found[1] > around[-1]:  # only one without an end of its own may end with what holds it
+                    found = (found[0], around[-1]) if validator is flac else None
+                if found and (best is None or found[1] > best[1]):
+                    best, name = found, kind
             i += 1
         if best:
             out.append((start, best[1], best[0]))
-            done = best[1]
+            done[name] = best[1]
+            around.append(best[1])
     return out
 
 
+def addressed(blob: bytes, at: int) -> list[tuple[str, int, int, str]]:
+    """The content of a data address, and the media inside it, all at the place of the address."""
+    kind, _, inside = sniff(blob)
+    return [(kind, at, len(blob), "data address"), *((k, at, n, "inside data address") for k, _, n, _ in inside)]
+
+
 def sniff(b: bytes | None) -> tuple[str | None, int, list[tuple[str, int, int, str]]]:
     """Detected type, number of bytes confirmed, embedded media as (type, offset, length, how)."""
     if b is None:
@@ -409,7 +428,10 @@ def sniff(b: bytes | None) -> tuple[str | None, int, list[tuple[str, int, int, s
         except (binascii.Error, ValueError):
             continue
         if blob:
-            inside.append((sniff(blob)[0], m.start(3), len(blob), "data address"))
+            inside += addressed(blob, m.start(3))
+    for m in PERCENT.finditer(b) if b.find(b"data:") >= 0 else ():
+        if b";base64" not in m[3].lower() and (blob := unquote_to_bytes(m[4])):
+            inside += addressed(blob, m.start(4))
     return kind, length, sorted(inside, key=lambda x: (x[1], x[2]))
 
 

@@ -426,6 +426,21 @@ def test_media(spark):
     assert media_sniff.sniff_column(df.limit(0), "k").count() == 0
 
 
+def test_media_inside_containers():
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("word/media/a.png", png())
+        f.writestr("word/media/b.png", png())
+    blob = z.getvalue()
+    kind, n, inside = media_sniff.sniff(blob)
+    assert kind.endswith("wordprocessingml.document") and n == len(blob)
+    assert [(k, m) for k, _, m, _ in inside] == [("image/png", len(png()))] * 2
+    page = b"<html><img src='data:application/zip;base64," + base64.b64encode(blob) + b"'><img src=\"data:image/svg+xml,%3Csvg xmlns=''/%3E\"><img src='data:image/svg+xml,%3Csvg/%3E'>"
+    found = [(k, how) for k, _, _, how in media_sniff.sniff(page)[2]]
+    assert found.count(("image/png", "inside data address")) == 2 and found.count(("image/svg+xml", "data address")) == 2
+    assert ("image/svg+xml", page.index(b"%3Csvg"), len("<svg xmlns=''/>"), "data address") in media_sniff.sniff(page)[2]
+
+
 # 9 SimHash
 
 
