@@ -274,8 +274,8 @@ def decode_array(lists: pa.Array, data: np.ndarray, starts: np.ndarray, sizes: n
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with token_ids and n_tokens."""
-    return encode(docs, keep=True).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    """The documents with token_ids, the text decoded from them alone, and n_tokens."""
+    return encode(docs, keep=True, decoded="decoded").withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,12 @@ def test_bpe_round_trip(spark, edges, docs):
     assert bpe_codec.stage(spark, edges.limit(0), SF).count() == 0
 
 
+def test_bpe_stage_decodes(spark):
+    df = spark.createDataFrame([(1, "some words, some more"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["decoded"] for r in bpe_codec.stage(spark, df, SF).select("doc_id", "decoded").collect()}
+    assert got == {1: "some words, some more", 2: None, 3: ""}
+
+
 def test_bpe_by_merges_and_unknown_ids(spark):
     rank = bpe_codec.ranks("/opt/tokenizers/byte_bpe_50k.tiktoken")
     encoded = bpe_codec.word_encoder("/opt/tokenizers/byte_bpe_50k.tiktoken")
