@@ -20,12 +20,13 @@ Defined results, one row for each input row:
 * null or empty text (or only white space): perplexity null, not kept;
 * null lang is a language of its own; a language without trusted text: perplexity null, kept (there is nothing to hold it against);
 * null doc_id: scored like others, but never trusted; a doc_id labelled both good and bad isn't trusted;
-* repeated rows give a row each and count once each in training; empty tables give empty results; extra columns are ignored.
+* repeated rows give a row each and count once each in training; empty tables give empty results; extra columns are ignored, whatever they are called;
+* very long texts are scored whole, in stretches of ``STRETCH`` characters; equal perplexities are decided alike, and one equal to the threshold is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,22 +42,47 @@ QUANTILE = 0.99
 MARGIN = 1.1
 HELD_OUT = 10
 START = 0xFFFF  # not a character
+#: Characters that are worked on at once: each takes some 60 bytes then.
+STRETCH = 400_000
 
 
-def points(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Character numbers of all texts, each after its marks of the start; where each text's own characters end."""
+def stretches(texts: Iterable[str | None], order: int = ORDER, most: int = STRETCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Character numbers, the places where the texts' own characters are, and the number of the text at each of these places.
+
+    Memory follows characters, not texts: short texts come together up to about ``most`` characters, each after its marks
+    of the start, and a longer text comes in parts, each after the ``order`` - 1 characters before it.
+    """
     head = np.full(order - 1, START, np.uint32)
-    parts, ends, n = [], [], 0
-    for t in texts:
+    parts, own_, n = [], [], 0
+
+    def done():
+        p = np.concatenate(parts)
+        high = p > 0xFFFF
+        if high.any():
+            p[high] = 0xE000 + p[high] * np.uint32(2654435761) % np.uint32(6400)
+        return p, np.concatenate([np.arange(s, e) for _, s, e in own_]), np.repeat([i for i, _, _ in own_], [e - s for _, s, e in own_])
+
+    for i, t in enumerate(texts):
         own = np.frombuffer(" ".join((t or "").split()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        parts += [head, own]
-        n += len(head) + len(own)
-        ends.append(n)
-    p = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    high = p > 0xFFFF
-    if high.any():
-        p[high] = 0xE000 + p[high] * np.uint32(2654435761) % np.uint32(6400)
-    return p, np.array(ends, np.int64)
+        for s in range(0, len(own), most):
+            part = own[s : s + most]
+            parts += [own[s - order + 1 : s] if s else head, part]
+            own_.append((i, n + order - 1, n + order - 1 + len(part)))
+            n += order - 1 + len(part)
+            if n >= most:
+                yield done()
+                parts, own_, n = [], [], 0
+    if own_:
+        yield done()
+
+
+def merged(ks: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, and the sums of their counts."""
+    k, n = np.concatenate(ks), np.concatenate(ns)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[starts], np.add.reduceat(n[order], starts)
 
 
 def keys(p: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
@@ -69,10 +95,6 @@ def keys(p: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
     return [k.view(np.int64) for k in out]
 
 
-def own_places(p: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(p != START)
-
-
 def distinct_places(k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each of the places the number of its n-gram, and for each number the first place."""
     codes, kinds = pd.factorize(k[at])
@@ -86,17 +108,19 @@ def highest_counts(rows: DataFrame, good: DataFrame, order: int = ORDER) -> Data
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         trusted, lang = set(right.column("doc_id").to_pylist()), None
-        total: pd.Series | None = None
+        ks, ns, size = [], [], 0
         for block in left.column("block") if trusted else ():
             t = unpacked(block.as_py())
             lang = t.column("lang")[0].as_py()
-            texts = [x.as_py() for i, x in zip(t.column("doc_id").to_pylist(), t.column("text")) if i in trusted]
-            p, _ = points(texts, order)
-            at = own_places(p)
-            own = pd.Series(keys(p, order)[-1][at]).value_counts(sort=False)
-            total = own if total is None else total.add(own, fill_value=0)
-        n = 0 if total is None else len(total)
-        return pa.table({"lang": pa.array([lang] * n, pa.string()), "k": pa.array(total.index.to_numpy(np.int64) if n else [], pa.int64()), "n": pa.array(total.to_numpy().astype(np.int64) if n else [], pa.int64())})
+            for p, at, _ in stretches((x.as_py() for i, x in zip(t.column("doc_id").to_pylist(), t.column("text")) if i in trusted), order):
+                k, n = np.unique(keys(p, order)[-1][at], return_counts=True)
+                ks, ns, size = [*ks, k], [*ns, n], size + len(k)
+                if size > 2 * len(ks[0]) + STRETCH:
+                    k, n = merged(ks, ns)
+                    ks, ns, size = [k], [n], len(k)
+        k, n = merged(ks, ns) if ks else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        pa.default_memory_pool().release_unused()
+        return pa.table({"lang": pa.array([lang] * len(k), pa.string()), "k": pa.array(k, pa.int64()), "n": pa.array(n, pa.int64())})
 
     counted = rows.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(count, "lang string, k long, n long")
     return counted.groupBy("lang", "k").agg(F.sum("n").alias("n"))
@@ -168,22 +192,25 @@ def log_probabilities(ks: list[np.ndarray], before: list[np.ndarray], model: dic
     return np.log(q)
 
 
-def chunk_column(parts):
-    return F.xxhash64("lang", F.pmod(F.xxhash64("doc_id"), F.coalesce(parts, F.lit(1)))).alias("chunk")
+def chunk_column(parts, of):
+    """The chunk of a row: its language, and a hash over as many parts as the language has."""
+    return F.xxhash64("lang", F.pmod(of, F.coalesce(parts, F.lit(1).cast("long")))).alias("chunk")
 
 
 def dealt(docs: DataFrame, good: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts as blocks (chunk, block) partitioned by chunk, the trusted ids (chunk, doc_id), and the chunks' languages (chunk, lang).
 
-    A chunk is of one language and a hash of doc_id, as many for each language as its size asks for.
+    A chunk is of one language and a hash of doc_id, as many for each language as its size asks for. Rows without doc_id, which
+    are never trusted, are dealt by their text and by where they are read, so that they don't all meet in one chunk.
     """
-    sizes = cut(docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).select(F.col("lang").alias("l"), F.greatest(F.ceil(F.col("bytes") / chunk_bytes), F.lit(1)).alias("parts")))
-    sizes = F.broadcast(sizes)  # a row for each language
-    own = docs.join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left").select(chunk_column(F.col("parts")), "doc_id", "lang", "text")
+    sizes = cut(docs.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).select(F.col("lang").alias("l"), F.greatest(F.ceil(F.col("bytes") / chunk_bytes), F.lit(1)).cast("long").alias("parts")))
+    by_id = F.xxhash64("doc_id")
+    own = docs.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("l")), "left")  # a row for each language
+    own = own.select(chunk_column(F.col("parts"), F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.spark_partition_id())).otherwise(by_id)), "doc_id", "lang", "text")
     ids = docs.select("doc_id", "lang").join(good, "doc_id", "left_semi").distinct()
-    ids = ids.join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left").select(chunk_column(F.col("parts")), "doc_id")
-    langs = docs.select("doc_id", "lang").join(sizes, F.col("lang").eqNullSafe(F.col("l")), "left").select(chunk_column(F.col("parts")), "lang").distinct()
-    return packed(own).repartition("chunk"), ids, langs
+    ids = ids.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("l")), "left").select(chunk_column(F.col("parts"), by_id), "doc_id")
+    langs = sizes.select(F.col("l").alias("lang"), "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return packed(own).repartition("chunk"), ids, langs.select(chunk_column(F.col("parts"), F.col("part")), "lang")
 
 
 def chunk_keys(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -194,10 +221,7 @@ def chunk_keys(rows: DataFrame, order: int = ORDER) -> DataFrame:
         for b in batches:
             for chunk, block in zip(b.column(0).to_pylist(), b.column(1)):
                 t = unpacked(block.as_py())
-                texts = t.column("text").to_pylist()
-                for i in range(0, len(texts), 1000):
-                    p, _ = points(texts[i : i + 1000], order)
-                    at = own_places(p)
+                for p, at, _ in stretches((x.as_py() for x in t.column("text")), order):
                     new = pd.unique(keys(p, order)[-1][at])
                     old = found.get(chunk)
                     found[chunk] = (t.column("lang")[0].as_py(), new if old is None else pd.unique(np.concatenate([old[1], new])))
@@ -237,25 +261,17 @@ def score(rows: DataFrame, langs: DataFrame, model: DataFrame, order: int = ORDE
             t = unpacked(block.as_py())
             ids += t.column("doc_id").to_pylist()
             langs += t.column("lang").to_pylist()
-            texts = t.column("text")
-            for i in range(0, t.num_rows, 500):
-                part = texts.slice(i, 500).to_pylist()
-                p, ends = points(part, order)
-                at = own_places(p)
-                if 0 not in local or not len(at):
-                    out.append(np.full(len(part), np.nan))
-                    continue
+            sums, n = np.zeros(t.num_rows), np.zeros(t.num_rows)
+            for p, at, owner in stretches((x.as_py() for x in t.column("text")), order) if 0 in local else ():
                 ks = keys(p, order)
                 codes, first = distinct_places(ks[-1], at)
                 logs = log_probabilities([k[first] for k in ks], [k[first - 1] for k in ks[:-1]], local)
-                sums = np.zeros(len(p) + 1)
-                sums[at + 1] = logs[codes]
-                sums = sums.cumsum()
-                starts = np.concatenate([[0], ends[:-1]])
-                n = ends - starts - (order - 1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    out.append(np.where(n > 0, np.exp(-(sums[ends] - sums[starts]) / n), np.nan))
+                sums += np.bincount(owner, logs[codes], t.num_rows)
+                n += np.bincount(owner, minlength=t.num_rows)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out.append(np.where(n > 0, np.exp(-sums / n), np.nan))
         values = np.concatenate(out) if out else np.zeros(0)
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "perplexity": pa.array(values, pa.float64(), from_pandas=True)})
 
     return rows.groupBy("chunk").cogroup(hits.unionByName(none).groupBy("chunk")).applyInArrow(place, "doc_id long, lang string, perplexity double")

@@ -235,7 +235,7 @@ def test_bpe_round_trip(spark, edges, docs):
         else:
             assert r["token_ids"] == reference.encode(r["text"], add_special_tokens=False).ids
     staged = bpe_codec.stage(spark, edges, SF)
-    assert staged.columns == [*edges.columns, "token_ids", "n_tokens"] and staged.count() == len(EDGES)
+    assert staged.columns == [*edges.columns, "token_ids", "decoded", "n_tokens"] and staged.count() == len(EDGES)
     assert bpe_codec.stage(spark, edges.limit(0), SF).count() == 0
 
 
@@ -287,9 +287,9 @@ def test_kneser_ney_is_a_distribution_and_matches_brute_force(spark):
     order = 3
     top: dict[int, int] = {}
     for t in texts:
-        p, _ = kneser_ney.points([t], order)
-        for k in kneser_ney.keys(p, order)[-1][kneser_ney.own_places(p)]:
-            top[int(k)] = top.get(int(k), 0) + 1
+        for p, at, _ in kneser_ney.stretches([t], order):
+            for k in kneser_ney.keys(p, order)[-1][at]:
+                top[int(k)] = top.get(int(k), 0) + 1
     model = kneser_ney.train(spark.createDataFrame([("en", k, n) for k, n in top.items()], "lang string, k long, n long"), order).collect()
     local = {}
     for n in range(order + 1):
@@ -352,6 +352,36 @@ def test_classifier(spark, docs, labels, edges):
     assert kneser_ney.classify(edges.limit(0), labels).count() == 0
 
 
+def test_stretches_cut_by_characters():
+    texts = ["", "ab", None, "a b\U0001f600c " * 50, "xyz", "q" * 37]
+    whole = [[] for _ in texts]
+    for p, at, owner in kneser_ney.stretches(texts, 4, 10**9):
+        for k, i in zip(kneser_ney.keys(p)[-1][at].tolist(), owner.tolist()):
+            whole[i].append(k)
+    assert [len(w) for w in whole] == [0, 2, 0, 299, 3, 37]
+    for most in (3, 7, 50):
+        parts = [[] for _ in texts]
+        for p, at, owner in kneser_ney.stretches(texts, 4, most):
+            assert len(p) < 2 * most + 3 * len(texts) + 3
+            for k, i in zip(kneser_ney.keys(p)[-1][at].tolist(), owner.tolist()):
+                parts[i].append(k)
+        assert parts == whole
+
+
+def test_classifier_long_texts_and_null_ids(spark, docs, labels):
+    rng = random.Random(19)
+    rows = [(None, prose(rng, 20 + i % 5), "en") for i in range(600)] + [(10_000 + i, prose(rng, 60_000), "en") for i in range(2)] + [(10_002, "same words", None)] * 3
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").union(extra)
+    few = {(r["doc_id"], round(r["perplexity"] or 0, 6), r["keep"]) for r in kneser_ney.classify(both, labels, chunk_bytes=40_000).collect()}
+    one = kneser_ney.classify(both, labels).collect()
+    assert {(r["doc_id"], round(r["perplexity"] or 0, 6), r["keep"]) for r in one} == few and len(one) == both.count()
+    assert sum(r["doc_id"] is None for r in one) == 600 and sum(r["doc_id"] == 10_002 and r["perplexity"] is None and r["keep"] for r in one) == 3
+    d = extra.select("doc_id", "text", "lang")
+    sizes = kneser_ney.dealt(d, labels.select("doc_id").limit(0), 2_000)[0].groupBy("chunk").count().count()
+    assert sizes > 20  # rows without doc_id are spread
+
+
 # 6 licence scans
 
 
@@ -574,6 +604,6 @@ def test_pipeline_stages(spark, edges, docs):
         d = stage(spark, d, SF)
         assert d.columns == names, name
     out = corpus_pipeline.STAGES[-1][1](spark, d, SF)
-    assert out.columns == [*names, "token_ids", "n_tokens"] and out.count() == d.count() > 0
+    assert out.columns == [*names, "token_ids", "decoded", "n_tokens"] and out.count() == d.count() > 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, edges, SF).count() >= 0, name
