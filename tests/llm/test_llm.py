@@ -217,6 +217,103 @@ def test_repeats_of_overlapping_quotes(spark):
     assert docs > 300 and found == docs and covered >= 0.99 * words, (docs, found, words, covered)
 
 
+@pytest.mark.parametrize(("pieces", "share"), [(3, 0.0), (30, 0.0), (60, 0.0), (200, 0.0), (60, 0.15), (200, 0.15)])
+def test_repeats_behind_partial_copies(spark, pieces, share):
+    """80 words in two texts, exactly or with edits, while many others hold 20 words of the same passage."""
+    rng, rows = random.Random(17), []
+    for i in range(20):
+        q = [f"q{i}x{j}" for j in range(80)]
+        v = [f"r{i}x{j}" if rng.random() < share else w for j, w in enumerate(q)]
+        for t in (q, v):
+            rows.append((len(rows), " ".join([f"a{len(rows)}w{j}" for j in range(20)] + t + [f"b{len(rows)}w{j}" for j in range(20)])))
+    for i in range(20):
+        for m in range(pieces):
+            s = rng.randrange(61)
+            fill = [f"c{i}m{m}w{j}" for j in range(20)]
+            rows.append((len(rows), " ".join(fill[:10] + [f"q{i}x{j}" for j in range(s, s + 20)] + fill[10:])))
+    got = {(r["doc_id"], r["partner_id"]) for r in chain_dedup.repeats(frame(spark, rows)).collect()}
+    found = sum((2 * i, 2 * i + 1) in got for i in range(20))
+    assert found >= (20 if share == 0 else 18) and not any(i >= 40 for p in got for i in p), found
+
+
+def test_repeats_match_brute_force(spark):
+    """All pairs of texts by local alignment: every text with a passage is found, its words are covered, and nothing else is returned."""
+    rng = random.Random(23)
+    rows = [[rng.choice(WORDS) + str(rng.randint(0, 30)) for _ in range(rng.randint(20, 200))] for _ in range(90)]
+    for _ in range(60):  # plant stretches of other texts, edited or not
+        a, b = rng.sample(range(90), 2)
+        n = rng.randint(10, 100)
+        at = rng.randrange(max(1, len(rows[a]) - n))
+        new = [w for w in rows[a][at : at + n] if rng.random() >= 0.03]
+        new = [rng.choice(WORDS) if rng.random() < rng.choice([0, 0.1, 0.15]) else w for w in new]
+        put = rng.randrange(len(rows[b]) + 1)
+        rows[b][put:put] = new
+    numbers = {w: i for i, w in enumerate({w for r in rows for w in r})}
+
+    def local(x, y):  # best local alignment, 1 for equal words and -2 for others: ends, length, equal words
+        best, table = (0, 0, 0, 0, 0), [(0, 0, 0, 0)] * (len(y) + 1)  # score, start in x, start in y, equal
+        for i, u in enumerate(x, 1):
+            new = [(0, i, 0, 0)]
+            for j, v in enumerate(y, 1):
+                d, l, t = table[j - 1], new[j - 1], table[j]
+                if d[0] == 0:
+                    d = (0, i - 1, j - 1, 0)
+                c = max((d[0] + (1 if u == v else -2), *d[1:3], d[3] + (u == v)), (l[0] - 2, *l[1:]), (t[0] - 2, *t[1:]))
+                if c[0] <= 0:
+                    c = (0, i, j, 0)
+                new.append(c)
+                if c[0] > best[0]:
+                    best = (c[0], c[1], i, j - c[2], c[3])
+            table = new
+        return best
+
+    want = {}
+    coded = [[numbers[w] for w in r] for r in rows]
+    sets = [set(zip(c, c[1:], c[2:])) for c in coded]
+    for a in range(90):
+        for b in range(90):
+            if a != b and len(sets[a] & sets[b]) >= 3:
+                _, s, e, m, equal = local(coded[a], coded[b])
+                if min(e - s, m) >= chain_dedup.MIN_WORDS and equal >= 0.85 * max(e - s, m):
+                    want.setdefault(a, set()).update(range(s, e))
+    got: dict[int, set] = {}
+    for r in chain_dedup.repeats(frame(spark, [(i, " ".join(r)) for i, r in enumerate(rows)])).collect():
+        at = [m.start() for m in re.finditer(r"\S+", " ".join(rows[r["doc_id"]]))]
+        got.setdefault(r["doc_id"], set()).update(k for k, p in enumerate(at) if r["start"] <= p < r["end"])
+        assert len(sets[r["doc_id"]] & sets[r["partner_id"]]) >= 3 and r["n_words"] >= chain_dedup.MIN_WORDS and r["identity"] >= chain_dedup.MIN_IDENTITY
+    assert len(want) > 20 and len(want.keys() & got.keys()) >= 0.95 * len(want)
+    assert sum(len(w & got.get(i, set())) for i, w in want.items()) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_repeats_reach_beyond_the_margin(spark):
+    rng = random.Random(29)
+    long = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(600)]
+    edited = [w if i % 9 else "other" + str(i) for i, w in enumerate(long)]
+    rows = [(1, "x1 y1 z1 " + " ".join(long)), (2, " ".join(edited) + " x2 y2"), (3, prose(rng, 200))]
+    get = lambda **o: sorted(tuple(r) for r in chain_dedup.repeats(frame(spark, rows), **o).collect())
+    assert get(margin=0) == get(margin=4, broadcast_rows=0) == get() and len(get()) == 2 and get()[0][6] > 570
+
+
+def test_long_texts_with_unrelated_middles(spark):
+    import time
+
+    rng = random.Random(37)
+    flanks = [[rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(20_000)] for _ in range(2)]
+    middles = [[f"m{i}w{j}" for j in range(4_000)] for i in range(2)]
+    texts = [" ".join(flanks[0] + m + flanks[1]) for m in middles]
+    seeder = chain_dedup.Seeder()
+    (ka, pa_, *_), (kb, pb, *_) = (seeder(t) for t in texts)
+    _, i, j = np.intersect1d(ka, kb, return_indices=True)
+    blocks = chain_dedup.merged(pa_[i], pb[j], chain_dedup.REACH)
+    began = time.perf_counter()
+    chains = [p for c in chain_dedup.chained(blocks, chain_dedup.K) for p in chain_dedup.parted(blocks[c], chain_dedup.K)]
+    for c in chains:
+        chain_dedup.align(*(t.split() for t in texts), np.column_stack([c[:, 0], c[:, 1], c[:, 2] - c[:, 0] + chain_dedup.K]))
+    assert time.perf_counter() - began < 1
+    got = chain_dedup.repeats(frame(spark, list(enumerate(texts)))).collect()
+    assert sorted((r["doc_id"], r["n_words"]) for r in got) == [(0, 20_000)] * 2 + [(1, 20_000)] * 2
+
+
 # 4 byte-level BPE
 
 
