@@ -174,6 +174,25 @@ def test_repeats(spark):
     assert chain_dedup.repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = random.Random(41)
+    texts = ["", "a b", "One, two three four five", "\u0130stanbul x\u00b2 y_z \U0001f600 \U00010400 k l m n o p", *[prose(rng, n) for n in (3, 4, 5, 70, 300)], "x y " * 400]
+    h, counts = chain_dedup.hashes(texts, 50)
+    assert counts.tolist() == [len(chain_dedup.WORD.findall(t)) for t in texts]
+    words = [w for t in texts for w in chain_dedup.WORD.findall(t)]
+    lower = lambda w: "".join(c.lower() if len(c.lower()) == 1 else c for c in w)
+    assert len({lower(w) for w in words}) == len(set(h.tolist())) == len(set(zip(map(lower, words), h.tolist())))
+    assert (chain_dedup.hashes(texts)[0] == h).all()
+    whole = chain_dedup.Seeds(texts)
+    every = np.arange(len(whole.keys))
+    rows = list(zip(whole.owner.tolist(), whole.pos.tolist(), whole.keys.tolist(), whole.ahead(every).tolist(), whole.near(every).tolist()))
+    for i, t in enumerate(texts):
+        one = chain_dedup.Seeds([t])
+        every = np.arange(len(one.keys))
+        assert [r[1:] for r in rows if r[0] == i] == list(zip(one.pos.tolist(), one.keys.tolist(), one.ahead(every).tolist(), one.near(every).tolist()))
+        assert len(set(one.keys.tolist())) == len(one.keys)
+
+
 def test_repeats_with_edits(spark):
     rng, rows, kinds = random.Random(8), [], {}
     for words, share in ((50, 0.1), (50, 0.15), (60, 0.2), (80, 0.2)):
@@ -301,10 +320,9 @@ def test_long_texts_with_unrelated_middles(spark):
     flanks = [[rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(20_000)] for _ in range(2)]
     middles = [[f"m{i}w{j}" for j in range(4_000)] for i in range(2)]
     texts = [" ".join(flanks[0] + m + flanks[1]) for m in middles]
-    seeder = chain_dedup.Seeder()
-    (ka, pa_, *_), (kb, pb, *_) = (seeder(t) for t in texts)
-    _, i, j = np.intersect1d(ka, kb, return_indices=True)
-    blocks = chain_dedup.merged(pa_[i], pb[j], chain_dedup.REACH)
+    x, y = (chain_dedup.Seeds([t]) for t in texts)
+    _, i, j = np.intersect1d(x.keys, y.keys, return_indices=True)
+    blocks = chain_dedup.merged(x.pos[i], y.pos[j], chain_dedup.REACH)
     began = time.perf_counter()
     chains = [p for c in chain_dedup.chained(blocks, chain_dedup.K) for p in chain_dedup.parted(blocks[c], chain_dedup.K)]
     for c in chains:
