@@ -103,3 +103,16 @@ def unpacked(block: bytes):
     import pyarrow as pa
 
     return pa.ipc.open_stream(block).read_all()
+
+
+def release() -> None:
+    """Give memory that a Python worker doesn't need any more back to the machine; workers stay for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
