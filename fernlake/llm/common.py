@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +46,23 @@ def pick(df: DataFrame, *names: str, optional: Iterable[str] = ()) -> DataFrame:
 def with_checkpoints(spark: SparkSession) -> str:
     """The folder for checkpoints: what the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (as in local tests) gets a folder of its own.
+    Only a session of one machine that names none (as in tests) gets a folder of its own; a cluster that names none is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="fernlake-"))
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fernlake-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows and columns, written as Parquet to the shared checkpoint folder and read again: each reader takes only the columns it needs."""
+    path = f"{with_checkpoints(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    flat = [f"__fl_{i}" for i in range(len(df.columns))]
+    df.toDF(*flat).write.parquet(path)
+    return df.sparkSession.read.parquet(path).toDF(*df.columns)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm.common import cut, packed, pick, table, unpacked
+from fernlake.llm.common import cut, packed, pick, release, table, unpacked
 
 ORDER = 4
 CHUNK_BYTES = 48_000_000
@@ -119,7 +119,7 @@ def highest_counts(rows: DataFrame, good: DataFrame, order: int = ORDER) -> Data
                     k, n = merged(ks, ns)
                     ks, ns, size = [k], [n], len(k)
         k, n = merged(ks, ns) if ks else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.table({"lang": pa.array([lang] * len(k), pa.string()), "k": pa.array(k, pa.int64()), "n": pa.array(n, pa.int64())})
 
     counted = rows.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(count, "lang string, k long, n long")
@@ -271,7 +271,7 @@ def score(rows: DataFrame, langs: DataFrame, model: DataFrame, order: int = ORDE
             with np.errstate(invalid="ignore", divide="ignore"):
                 out.append(np.where(n > 0, np.exp(-sums / n), np.nan))
         values = np.concatenate(out) if out else np.zeros(0)
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "perplexity": pa.array(values, pa.float64(), from_pandas=True)})
 
     return rows.groupBy("chunk").cogroup(hits.unionByName(none).groupBy("chunk")).applyInArrow(place, "doc_id long, lang string, perplexity double")
