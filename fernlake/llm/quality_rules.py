@@ -12,7 +12,9 @@ Defined results:
 * a document that no rule covers, as well as every document when there are no
   labels or labels of one class only, is kept (``rule_id`` -1);
 * null or other labels than 0 and 1 are ignored; a document labelled both ways counts once each way;
-* repeated rows and repeated or null ``doc_id``: each row gets its own result row;
+* repeated rows and repeated or null ``doc_id``: each row gets its own result row; at most ``MAX_LABELLED`` rows teach, also where doc_ids repeat;
+* very long texts are counted whole; ties: of equal gains the first statistic, direction and lowest threshold is taken, of equally good prunings the shorter
+  rule, and a statistic equal to a threshold is "at least" it; where several rules hold, the first decides;
 * empty tables give empty results; extra columns are ignored by ``decide`` and kept by ``stage``.
 """
 
@@ -152,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **
     lab = pick(labels, "doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").distinct()
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
     d = pick(docs, "doc_id", "text").filter(~blank(F.col("text"))).join(F.broadcast(lab), "doc_id")
-    rows = with_statistics(d).select("doc_id", "quality", *[F.col(f"__fl_{k}").alias(k) for k in NAMES]).toPandas()
+    rows = with_statistics(d).select("doc_id", "quality", *[F.col(f"__fl_{k}").alias(k) for k in NAMES])
+    # a doc_id that stands for many rows doesn't bring more than that either
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *NAMES).limit(max_labelled).toPandas()
     if not len(rows):
         return []
     names = list(NAMES)
