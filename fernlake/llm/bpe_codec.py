@@ -10,7 +10,7 @@ pre-token, so each distinct pre-token of the corpus is encoded once:
 4. each chunk's texts meet the chunk's words, and the ids are put in place by the position of the pre-token.
 
 Between the steps only distinct words of a chunk move, not occurrences: positions stay where the text is. The chunk
-number depends on the row alone and the order of a chunk's words on the words alone, so a lost task recomputes
+number depends on the row and the part of the input it lies in, and the order of a chunk's words on the words alone, so a lost task recomputes
 the same rows. The texts' shuffle is planned once and read twice (the exchange is reused).
 
 Decoding joins the token-byte table by id: the ids of a batch, flattened with their positions, gather the
@@ -18,7 +18,8 @@ bytes of the vocabulary's table, and the documents' bytes are cut at their posit
 
 Defined results, one row for each input row: null text gives null ids; empty text gives no ids; every other text gives the ids of
 the reference encoder, and decoding them gives the text back. Ids outside the vocabulary make decoding raise
-``ValueError``; bytes that aren't UTF-8 decode to U+FFFD. Repeated rows and repeated or null doc_id give a row each; empty tables give empty results;
+``ValueError``; bytes that aren't UTF-8 decode to U+FFFD. Very long texts are encoded whole, as a block of their own; ties between merges
+go to the first pair of the lowest rank. Repeated rows and repeated or null doc_id give a row each; empty tables give empty results;
 extra columns are ignored by ``encode`` and kept by ``stage``, which replaces columns called ``token_ids`` or ``n_tokens``.
 """
 
@@ -33,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlake.llm.common import TOKENIZERS, packed, table, unpacked
+from fernlake.llm.common import TOKENIZERS, packed, release, table, unpacked
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text of a chunk. A task holds the chunk's distinct words; texts stream past them.
 CHUNK_BYTES = 16_000_000
+#: Text whose distinct words meet in one shard at most; the words of so much text are held at once.
+SHARD_BYTES = 256_000_000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -69,12 +72,16 @@ def word_encoder(vocabulary: str):
     return tiktoken.Encoding("fernlake", pat_str=PATTERN, mergeable_ranks=ranks(vocabulary), special_tokens={})._encode_single_piece
 
 
-def chunked(d: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """The rows with ``chunk``, a hash of the row over as many chunks as the texts' size asks for; as many shards for words."""
+def chunked(d: DataFrame, chunk_bytes: int, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """The rows with ``chunk``, a hash of the row and of the part of the input it is read from over as many chunks as the texts' size asks for; the number of shards for words.
+
+    So copies of a row meet in one chunk only as far as they lie in one part of the input. Both sizes bound what a task holds; on very large tables both
+    should grow, to some hundred megabytes at 100 TB, since each chunk sends a packed row to each shard.
+    """
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    shards = max(1, min(chunks, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return d.withColumn("chunk", F.pmod(F.xxhash64(*d.columns), F.lit(chunks)).cast("long")), shards
+    shards = max(1, min(chunks, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-size // shard_bytes))
+    return d.withColumn("chunk", F.pmod(F.xxhash64(*d.columns, F.spark_partition_id()), F.lit(chunks)).cast("long")), shards
 
 
 def pack(words: list[str], numbers: list[int]) -> tuple[bytes, bytes]:
@@ -199,6 +206,8 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCA
             which.append(at)
             flat_ids.append(np.frombuffer(z.decompress(i), np.uint32).astype(np.int32))
         order = np.concatenate(which) if which else np.zeros(0, np.int64)
+        if len(order) != len(rank_of):
+            raise RuntimeError("a chunk's texts changed between two readings")
         flat_ids = np.concatenate(flat_ids) if flat_ids else np.zeros(0, np.int32)
         starts = np.zeros(len(rank_of), np.int64)
         starts[order] = sizes[order].cumsum() - sizes[order]
@@ -214,7 +223,7 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCA
         done = pa.concat_tables(tables).drop_columns(["chunk"] if texts_too else ["chunk", "text"]).append_column("token_ids", out)
         if decoded:
             done = done.append_column(decoded, decode_array(out, *token_bytes(path)))
-        pa.default_memory_pool().release_unused()
+        release()
         return done
 
     placed = rows.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(place, schema)
