@@ -21,8 +21,10 @@ ASCII case.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -85,12 +87,23 @@ def automaton():
 def resolve(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of (start, end, priority, rule), those that no stronger detection contains or overlaps, by position."""
     kept: list[tuple[int, int, int, int]] = []
-    for start, end, priority, rule in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
-        for a, b, p, _ in kept:
-            if start < b and a < end and (p > priority or (a <= start and end <= b)):
-                break
-        else:
-            kept.append((start, end, priority, rule))
+    starts: list[int] = []  # of the merged stretches that stronger detections cover, and their ends
+    ends: list[int] = []
+    for _, group in groupby(sorted(set(found), key=lambda d: (-d[2], d[0], -d[1], d[3])), key=lambda d: d[2]):
+        last, new = -1, []
+        for d in group:
+            at = bisect_left(starts, d[1]) - 1
+            if (at < 0 or ends[at] <= d[0]) and d[1] > last:  # by start, so what contains it came before
+                new.append(d)
+                last = d[1]
+        kept += new
+        merged: list[list[int]] = []
+        for a, b in sorted([*zip(starts, ends), *((d[0], d[1]) for d in new)]):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        starts, ends = [m[0] for m in merged], [m[1] for m in merged]
     return sorted(kept)
 
 
