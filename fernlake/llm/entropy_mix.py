@@ -21,12 +21,15 @@ Defined results, one row for each input row:
   without a target (when targets are given) or with target 0 has rate 0 and no copies;
 * null or empty text has 0 tokens; it neither counts nor tilts, its length is taken as the mean, and its rate is its source's;
 * a source whose documents all have 0 tokens has rate 1; repeated rows and repeated or null doc_id have rates by row, repeated rows the same copies;
+* where the documents of each source are all of one length, the sources' shares settle the mean length, and its condition is left out; targets that
+  no rates meet raise ``ArithmeticError``; very long texts count as what they are; a row whose hash equals the rest gets no further copy;
 * empty tables give empty results; extra columns are ignored by ``rates`` and kept by ``mix``, which keeps column names as they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ TOLERANCE = 1e-9
 MAX_STEPS = 100
 #: A source's name where it is null; sources are compared as strings.
 NONE = "\0null"
+#: Sources up to which their multipliers are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def token_count(text: Column) -> Column:
@@ -52,12 +57,12 @@ def statistics(docs: DataFrame, tokens: str | None = None) -> DataFrame:
     return d.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"), "tokens")
 
 
-def sums(stats: DataFrame, mean: float, sd: float, tilt: float) -> dict[str, tuple[float, float, float]]:
-    """For each source the sums of n e^(tilt z), n z e^(tilt z) and n z^2 e^(tilt z), one job over all documents."""
+def sums(stats: DataFrame, names: np.ndarray, mean: float, sd: float, tilt: float) -> list[np.ndarray]:
+    """For each named source the sums of n e^(tilt z), n z e^(tilt z) and n z^2 e^(tilt z), one job over all documents."""
     z = (F.log("tokens") - mean) / sd
     w = F.col("tokens") * F.exp(F.lit(tilt) * z)
-    rows = stats.groupBy("source").agg(F.sum(w).alias("a"), F.sum(w * z).alias("b"), F.sum(w * z * z).alias("c")).collect()
-    return {r["source"]: (r["a"], r["b"], r["c"]) for r in rows}
+    rows = stats.groupBy("source").agg(F.sum(w).alias("a"), F.sum(w * z).alias("b"), F.sum(w * z * z).alias("c")).toArrow().to_pandas().set_index("source")
+    return [rows.loc[names, c].to_numpy(float) for c in "abc"]
 
 
 def solve(stats: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, temperature: float = TEMPERATURE, tolerance: float = TOLERANCE) -> tuple[dict[str, float], float, float, float]:
@@ -68,8 +73,8 @@ def solve(stats: DataFrame, targets: dict[str, float] | None = None, budget: flo
     """
     full = stats.filter("tokens > 0")
     n = F.col("tokens").cast("double")
-    whole = full.groupBy("source").agg(F.sum(n).alias("t"), F.sum(n * F.log("tokens")).alias("s"), F.sum(n * F.log("tokens") * F.log("tokens")).alias("q")).collect()
-    held = {r["source"]: r["t"] for r in whole}
+    whole = full.groupBy("source").agg(F.sum(n).alias("t"), F.sum(n * F.log("tokens")).alias("s"), F.sum(n * F.log("tokens") * F.log("tokens")).alias("q")).toArrow().to_pandas().set_index("source")
+    held = whole["t"].to_dict()
     total = sum(held.values())
     if not total:
         return {}, 0.0, 0.0, 1.0
@@ -82,16 +87,13 @@ def solve(stats: DataFrame, targets: dict[str, float] | None = None, budget: flo
     scale = budget / sum(wish.values())
     names = sorted(wish)
     target = np.array([wish[k] * scale for k in names])
-    own = [r for r in whole if r["source"] in wish]
-    base = sum(r["t"] for r in own)
-    mean = sum(r["s"] for r in own) / base
-    sd = float(np.sqrt(max(sum(r["q"] for r in own) / base - mean**2, 0))) or 1.0
+    base, s, q = whole.loc[names].sum()
+    mean = s / base
+    sd = float(np.sqrt(max(q / base - mean**2, 0))) or 1.0
     aim = 0.0  # token-weighted mean of the standardised length, as before
-    full = full.filter(F.col("source").isin(names))
 
     def at(tilt: float):
-        s = sums(full, mean, sd, tilt)
-        return (np.array([s[k][i] for k in names]) for i in range(3))
+        return sums(full, names, mean, sd, tilt)
 
     tilt = 0.0
     a, b, c = at(tilt)
@@ -101,12 +103,13 @@ def solve(stats: DataFrame, targets: dict[str, float] | None = None, budget: flo
     for _ in range(MAX_STEPS):
         e = np.exp(lam)
         grad = np.concatenate([e * a - target, [(e * b).sum() - aim * budget]])
-        if np.abs(grad).max() <= tolerance * budget:
-            break
         diagonal, border, corner = e * a, e * b, float((e * c).sum())
-        # Schur complement of the arrow; none where all documents are of one length
+        # Schur complement of the arrow; none where the documents of each source are of one length, so that the sources' shares settle the mean
         schur = corner - float((border**2 / diagonal).sum())
-        step_t = -(grad[-1] - float((border * grad[:-1] / diagonal).sum())) / schur if schur > 1e-12 * budget else 0.0
+        free = schur > 1e-9 * budget
+        if np.abs(grad if free else grad[:-1]).max() <= tolerance * budget:
+            break
+        step_t = -(grad[-1] - float((border * grad[:-1] / diagonal).sum())) / schur if free else 0.0
         step_l = -(grad[:-1] + border * step_t) / diagonal
         size, slope = 1.0, float(grad[:-1] @ step_l + grad[-1] * step_t)
         while True:
@@ -118,18 +121,22 @@ def solve(stats: DataFrame, targets: dict[str, float] | None = None, budget: flo
                 break
             size /= 2
         lam, tilt, a, b, c, value = new_l, new_t, na, nb, nc, now
+    else:
+        raise ArithmeticError(f"no rates meet the targets within {MAX_STEPS} Newton steps; the remaining error is {np.abs(grad).max() / budget:.3g} of the budget")
     out = {k: -np.inf for k in held} | dict(zip(names, lam.tolist()))
     return out, tilt, mean, sd
 
 
-def rate_column(solution: tuple[dict[str, float], float, float, float], source: Column, tokens: Column) -> Column:
-    """The tilted rate; the sources' multipliers are looked up in a literal map, one entry a source."""
+def with_rate(df: DataFrame, solution: tuple[dict[str, float], float, float, float], source: Column, tokens: Column, to: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows with the tilted rate; the sources' multipliers are joined, by broadcast up to ``broadcast_rows`` sources."""
     lam, tilt, mean, sd = solution
     z = F.when(tokens > 0, (F.log(F.greatest(tokens, F.lit(1))) - mean) / sd).otherwise(0.0)
     if not lam:
-        return F.lit(1.0)
-    known = F.create_map(*[x for k, v in sorted(lam.items()) for x in (F.lit(k), F.lit(float(np.exp(v))))])
-    return F.coalesce(known[source], F.lit(1.0)) * F.exp(F.lit(tilt) * z)
+        return df.withColumn(to, F.lit(1.0))
+    names = sorted(lam)
+    known = df.sparkSession.createDataFrame(pa.table({"__fl_source": names, "__fl_factor": np.exp([lam[k] for k in names])}))
+    out = df.join(F.broadcast(known) if len(names) <= broadcast_rows else known, source == F.col("__fl_source"), "left")
+    return out.withColumn(to, F.coalesce("__fl_factor", F.lit(1.0)) * F.exp(F.lit(tilt) * z)).drop("__fl_source", "__fl_factor")
 
 
 def copies_column(rate: Column, seed: int, *identity: Column) -> Column:
@@ -142,7 +149,7 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, budget: floa
     """doc_id, source, tokens, rate, copies; one row for each input row."""
     stats = cut(statistics(docs, tokens))
     s = solve(stats, targets, budget, temperature)
-    d = stats.withColumn("rate", rate_column(s, F.col("source"), F.col("tokens")))
+    d = with_rate(stats, s, F.col("source"), F.col("tokens"), "rate")
     d = d.withColumn("copies", copies_column(F.col("rate"), seed, F.col("doc_id"), F.col("source"), F.col("tokens")))
     return d.withColumn("source", F.when(F.col("source") != NONE, F.col("source")))
 
@@ -157,7 +164,8 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, budget: float
     at = {c: F.col(f"__in_{docs.columns.index(c)}") for c in ("doc_id", "source", "text")}
     source = F.coalesce(at["source"].cast("string"), F.lit(NONE))
     d = flat.withColumn("__fl_tokens", token_count(at["text"].cast("string")))
-    d = d.withColumn("__fl_copies", copies_column(rate_column(s, source, F.col("__fl_tokens")), seed, at["doc_id"], source, F.col("__fl_tokens")))
+    d = with_rate(d, s, source, F.col("__fl_tokens"), "__fl_rate")
+    d = d.withColumn("__fl_copies", copies_column(F.col("__fl_rate"), seed, at["doc_id"], source, F.col("__fl_tokens")))
     d = d.filter("__fl_copies > 0").withColumn("__fl_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__fl_copies"))))
     return d.select(*flat.columns).toDF(*docs.columns)
 
