@@ -454,12 +454,18 @@ def _sniffed():
 
 
 def sniff_column(df: DataFrame, key: str, blob: Column | str = "content", declared: Column | str = "declared") -> DataFrame:
-    """key, declared, n_bytes, detected, corrected, valid_bytes, embedded; one row for each input row."""
-    blob = F.col(blob) if isinstance(blob, str) else blob
-    declared = F.col(declared) if isinstance(declared, str) else declared
-    d = df.select(F.col(key), blob.cast("binary").alias("__fl_b"), declared.cast("string").alias("declared"))
-    d = d.select(key, "declared", F.length("__fl_b").cast("long").alias("n_bytes"), _sniffed()("__fl_b", "declared").alias("s"))
-    return d.select(key, "declared", "n_bytes", "s.detected", "s.corrected", "s.valid_bytes", "s.embedded")
+    """key, declared, n_bytes, detected, corrected, valid_bytes, embedded; one row for each input row.
+
+    Columns given by name are found by exact spelling, the first of several, whatever else the table holds.
+    """
+    if isinstance(blob, str) and isinstance(declared, str):
+        df, blob, declared = pick(df, key, blob, declared).toDF("__fl_k", "__fl_b", "__fl_d"), F.col("__fl_b"), F.col("__fl_d")
+    else:
+        blob, declared = (F.col(x) if isinstance(x, str) else x for x in (blob, declared))
+        df = df.withColumn("__fl_k", F.col(key))
+    d = df.select("__fl_k", blob.cast("binary").alias("__fl_b"), declared.cast("string").alias("declared"))
+    d = d.select("__fl_k", "declared", F.length("__fl_b").cast("long").alias("n_bytes"), _sniffed()("__fl_b", "declared").alias("s"))
+    return d.select(F.col("__fl_k").alias(key), "declared", "n_bytes", "s.detected", "s.corrected", "s.valid_bytes", "s.embedded")
 
 
 def declared_by_address(url: Column) -> Column:
