@@ -22,7 +22,8 @@ Defined results, one row for each input row:
 * group_id is the least doc_id of the group, and its document is kept;
 * repeated rows of one doc_id are members of their texts' groups each for itself; ``decide`` keeps every row with the
   group's least doc_id, ``dedup`` keeps exactly one row of each group;
-* empty tables give empty results; extra columns are ignored by ``decide`` and kept by ``dedup``.
+* very long texts are signed whole; a bit whose words weigh as much for as against it is set; pairs at exactly ``MAX_DISTANCE`` are near;
+* empty tables give empty results; extra columns are ignored by ``decide`` and kept by ``dedup``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -105,16 +106,16 @@ def ball(prints: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, sig for each row; sig is null where doc_id is null or the text has no words."""
+    """doc_id, h (a hash of the text), sig for each row; sig is null where doc_id is null or the text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
         for b in batches:
-            sigs = [signer(t.as_py()) if i.is_valid else None for i, t in zip(*b.columns)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["doc_id", "sig"])
+            sigs = [signer(t.as_py()) if i.is_valid else None for i, _, t in zip(*b.columns)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.binary())], ["doc_id", "h", "sig"])
 
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(run, "doc_id long, sig binary")
+    return d.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, sig binary")
 
 
 def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.ChunkedArray]]:
@@ -262,31 +263,24 @@ def decide(docs: DataFrame, tables: int = TABLES, max_distance: int = MAX_DISTAN
 
 
 def dedup(docs: DataFrame, tables: int = TABLES, max_distance: int = MAX_DISTANCE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The documents with one row of each group (that of the least doc_id), and all their columns."""
+    """The documents with one row of each group, and all their columns.
+
+    The row kept has the least doc_id, of several such rows that with the least hash of its text, and of rows equal in both any one.
+    """
     signed = cut(sign(docs))
-    of = decide_signed(signed, tables, max_distance)
-    rows = signed.join(of, "sig")
-    lost = cut(rows.filter("doc_id != group_id").select("doc_id").distinct())
-    n_lost, n_rows, n_ids = lost.count(), *signed.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    rows = signed.join(decide_signed(signed, tables, max_distance).filter("group_size > 1"), "sig").groupBy("group_id", "doc_id", "h").agg(F.count("*").alias("n"))
+    first = (F.col("doc_id") == F.col("group_id")) & (F.row_number().over(Window.partitionBy("group_id", "doc_id").orderBy("h")) == 1)
+    found = cut(rows.withColumn("first", first).filter("not first or n > 1").select(F.col("doc_id").alias("__fl_id"), F.col("h").alias("__fl_h"), "first"))
+    n_lost, n_twice = found.agg(F.count_if(~F.col("first")), F.count_if(F.col("first"))).first()
+    lost, twice = found.filter("not first").drop("first"), found.filter("first").drop("first")
     flat = docs.toDF(*[f"__in_{i}" for i in range(len(docs.columns))])
-    own = flat.withColumn("__fl_id", F.col(f"__in_{docs.columns.index('doc_id')}").cast("long"))
-    if n_rows != n_ids:  # a doc_id stands for several texts: decide by row
-        text = F.col(f"__in_{docs.columns.index('text')}")
-        numbered = own.withColumn("__fl_row", F.monotonically_increasing_id())
-        numbered = cut(numbered)
-        again = sign_rows(numbered.select("__fl_row", "__fl_id", text.alias("text")))
-        best = again.join(of, "sig").withColumn("__fl_best", F.row_number().over(Window.partitionBy("group_id").orderBy("__fl_id", "__fl_row")))
-        kept = numbered.join(best.filter("__fl_best > 1").select("__fl_row"), "__fl_row", "left_anti")
-    else:
-        lost = lost.withColumnRenamed("doc_id", "__fl_id")
-        kept = own.join(F.broadcast(lost) if n_lost <= broadcast_rows else lost, "__fl_id", "left_anti")
-    return kept.select(*[f"__in_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
-
-
-def sign_rows(rows: DataFrame) -> DataFrame:
-    """Signatures by row number, for tables where doc_id repeats."""
-    s = sign(rows.select(F.col("__fl_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__fl_row")
-    return s.join(rows.select("__fl_row", "__fl_id"), "__fl_row").filter("__fl_id is not null")
+    own = flat.withColumns({"__fl_id": F.col(f"__in_{docs.columns.index('doc_id')}").cast("long"), "__fl_h": F.xxhash64(F.col(f"__in_{docs.columns.index('text')}").cast("string"))})
+    by = ["__fl_id", "__fl_h"]
+    kept = own.join(F.broadcast(lost) if n_lost <= broadcast_rows else lost, by, "left_anti")
+    if n_twice:  # rows equal in doc_id and text
+        some = F.broadcast(twice) if n_twice <= broadcast_rows else twice
+        kept = kept.join(some, by, "left_anti").unionByName(kept.join(some, by, "left_semi").dropDuplicates(by))
+    return kept.select(*flat.columns).toDF(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
