@@ -96,9 +96,35 @@ def test_grow_and_prune():
     assert quality_rules.learn(["a"], x[:, :1], np.zeros(600, bool)) == []
 
 
+def test_rules_bound_the_rows_that_teach(spark):
+    many = spark.createDataFrame([(1, f"some words {i}", 1) for i in range(500)] + [(2, "!!! ??? !!!", 1)] * 5, "doc_id long, text string, x int")
+    labels_ = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    learn, seen = quality_rules.learn, []
+    quality_rules.learn = lambda names, x, bad, **o: seen.append(len(x)) or learn(names, x, bad, **o)
+    try:
+        quality_rules.fit(many, labels_, max_labelled=40)
+        quality_rules.fit(many, labels_)
+    finally:
+        quality_rules.learn = learn
+    assert seen == [40, 505]
+
+
 # 2 secret scans
 
 
+def test_secrets_match_brute_force(spark):
+    """Every maximal run of the characters of secrets, judged on its own; the query's findings over a whole table."""
+    t, p = secret_scan.encoding("/opt/tokenizers/byte_bpe_50k.tiktoken"), re.compile(secret_scan.RUN % secret_scan.MIN_CHARS)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = sorted((r["doc_id"], a, b, n, round(x, 6)) for r in rows if r["text"] for a, b, n, x in secret_scan.find(r["text"], t, p))
+    got = sorted((r["doc_id"], r["start"], r["end"], r["n_tokens"], r["chars_per_token"]) for r in secret_scan.scan(docs).collect())
+    assert got == want and want
+    for i, a, b, n, x in want:
+        run = next(r["text"] for r in rows if r["doc_id"] == i)[a:b]
+        assert len(t.encode_ordinary(run)) == n and round(len(run) / n, 6) == x and not re.fullmatch(r"[0-9]+|[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", run)
+
+
 def test_secrets():
     t = secret_scan.encoding("/opt/tokenizers/byte_bpe_50k.tiktoken")
     p = re.compile(secret_scan.RUN % secret_scan.MIN_CHARS)
@@ -516,6 +542,26 @@ def test_licenses(spark, edges):
     assert license_scan.scan(frame(spark, [(1, text), (1, text)])).count() == 2 * len(brute)
 
 
+def test_resolving_by_brute_force():
+    def slow(found):
+        kept = []
+        for start, end, priority, rule in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
+            if not any(start < b and a < end and (p > priority or (a <= start and end <= b)) for a, b, p, _ in kept):
+                kept.append((start, end, priority, rule))
+        return sorted(kept)
+
+    rng = random.Random(43)
+    for _ in range(400):
+        found = [(a, a + rng.randint(1, 12), rng.randint(1, 4), rng.randint(0, 5)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 40)))]
+        assert license_scan.resolve(found) == slow(found)
+    import time
+
+    many = [(i * 3, i * 3 + 9, i % 3, i % 50) for i in range(40_000)]
+    began = time.perf_counter()
+    license_scan.resolve(many)
+    assert time.perf_counter() - began < 2
+
+
 # 7 entropy balancing
 
 
@@ -539,6 +585,29 @@ def test_mixing(spark, edges):
     assert {x["rate"] for x in entropy_mix.rates(df, {"zz": 1}).collect()} == {0.0}
 
 
+def test_mixing_many_sources_and_targets_out_of_reach(spark):
+    rows = [(i, "w " * (1 + i % 7), f"host{i % 900}") for i in range(4_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    s = entropy_mix.solve(entropy_mix.statistics(df))
+    by = entropy_mix.rates(df).toPandas()
+    small = entropy_mix.with_rate(entropy_mix.statistics(df), s, F.col("source"), F.col("tokens"), "rate", broadcast_rows=10).toPandas()
+    assert np.allclose(by.sort_values("doc_id").rate, small.sort_values("doc_id").rate)
+    t = (by.rate * by.tokens).groupby(by.source).sum()
+    old = by.tokens.groupby(by.source).sum() ** entropy_mix.TEMPERATURE
+    assert np.allclose(t / t.sum(), old / old.sum(), atol=1e-7)
+    # each source's documents are of one length: the shares settle the mean
+    flat = spark.createDataFrame([(i, "w " * (100 if i % 2 else 10), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    r = entropy_mix.rates(flat, {"a": 3, "b": 1}).toPandas()
+    t = (r.rate * r.tokens).groupby(r.source).sum()
+    assert t["a"] / t.sum() == pytest.approx(0.75)
+    steps, entropy_mix.MAX_STEPS = entropy_mix.MAX_STEPS, 1
+    try:
+        with pytest.raises(ArithmeticError):
+            entropy_mix.solve(entropy_mix.statistics(df), {"host1": 1, "host2": 50})
+    finally:
+        entropy_mix.MAX_STEPS = steps
+
+
 # 8 media
 
 
@@ -577,6 +646,31 @@ def test_media(spark):
     assert media_sniff.sniff_column(df.limit(0), "k").count() == 0
 
 
+def test_media_clashing_names(spark):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    df = spark.createDataFrame([(1, bytearray(png()), "image/jpeg", "x", b"y", "z")], "k long, content binary, declared string, K string, Content binary, detected string")
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    twice = df.toDF("k", "content", "declared", "k", "content", "declared")
+    for d in (df, twice):
+        r = media_sniff.sniff_column(d, "k").first()
+        assert (r["k"], r["declared"], r["detected"], r["corrected"]) == (1, "image/jpeg", "image/png", True)
+
+
+def test_media_signatures_by_brute_force():
+    """Every place of a blob tried for itself finds what one pass of the automaton finds."""
+    rng = random.Random(47)
+    parts = [png(), b"GIF89a\1\0\1\0\x80\0\0\0\0\0\xff\xff\xff,\0\0\0\0\1\0\1\0\0\2\2D\1\0;", gzip.compress(b"abc" * 30), b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF\n"]
+    for _ in range(30):
+        blob, want = b"\1junk", set()
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(parts)
+            want.add((len(blob), len(p)))
+            blob += p + bytes(rng.randrange(1, 9) for _ in range(rng.randint(1, 30)))
+        one = {(o, n) for _, o, n, how in media_sniff.sniff(blob)[2] if how == "bytes"}
+        each = {(i, media_sniff.sniff(blob[i:])[1]) for i in range(1, len(blob)) if media_sniff.sniff(blob[i:])[0] not in ("application/octet-stream", "text/plain", "empty") and media_sniff.sniff(blob[i:])[1]}
+        assert want <= one and want <= each
+
+
 def test_media_inside_containers():
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
@@ -674,9 +768,68 @@ def test_near_duplicates(spark):
     assert simhash_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_dedup_matches_brute_force(spark):
+    """Groups against all pairs of signatures, and the rows kept against the groups, ids repeated or not, broadcast or shuffled."""
+    rng = random.Random(53)
+    rows = []
+    for i in range(60):
+        words = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(rng.randint(60, 200))]
+        rows.append((i, " ".join(words)))
+        for _ in range(rng.randint(0, 3)):
+            rows.append((rng.choice([len(rows) + 100, i]), " ".join("new" + str(rng.randint(0, 99)) if rng.random() < 0.01 else w for w in words)))
+    rows += [rows[0], rows[0], rows[5], (None, rows[0][1]), (9007, None), (9007, None)]
+    df = frame(spark, rows)
+    signer = simhash_dedup.Signer()
+    sigs = [(i, t, signer(t)) for i, t in rows if i is not None and t]
+    far = lambda a, b: np.bitwise_count(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum()
+    root = list(range(len(sigs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sigs)):
+        for y in range(x):
+            if far(sigs[x][2], sigs[y][2]) <= simhash_dedup.MAX_DISTANCE:
+                root[find(x)] = find(y)
+    groups: dict[int, list] = {}
+    for x, (i, t, _) in enumerate(sigs):
+        groups.setdefault(find(x), []).append((i, t))
+    got = {(r["doc_id"], r["group_id"], r["group_size"]) for r in simhash_dedup.decide(df).collect()}
+    want = {(i, min(j for j, _ in g), len(g)) for g in groups.values() for i, _ in g}
+    assert len(want & got) >= 0.9 * len(want)
+    for limit in (0, 1_000_000):
+        kept = [(r[0], r[1]) for r in simhash_dedup.dedup(df, broadcast_rows=limit).collect()]
+        assert kept.count((None, rows[0][1])) == 1 and kept.count((9007, None)) == 2
+        assert len(kept) - 3 == len({(g, n) for i, g, n in got if i is not None and g != 9007})
+        assert len(set(kept)) == len(kept) - 1  # only the two rows without text are equal
+
+
 # 10 HTML
 
 
+def test_html_decoding_is_optimal_among_closed_choices():
+    """Of all choices of nodes that keep each kept node's ancestors, the one with the greatest sum."""
+    rng = np.random.default_rng(59)
+    for _ in range(40):
+        html, n = "", 0
+        for _ in range(int(rng.integers(3, 9))):
+            html += rng.choice(["<div>", "<p>", "</div>", "</p>", "<b>x</b>"]) + rng.choice(["", "some text "])
+        nodes = html_extract.parse(html)
+        n = len(nodes)
+        if not 0 < n <= 12:
+            continue
+        odds, chars = rng.normal(size=n), np.array([len(html_extract.own_text(v)) for v in nodes], float)
+        keep = html_extract.decode(nodes, odds, chars)
+        at = {id(v): k for k, v in enumerate(nodes)}
+        closed = lambda c: all(c[at[id(v.parent)]] for k, v in enumerate(nodes) if c[k] and v.parent is not None and id(v.parent) in at)
+        gain = odds * np.log1p(chars)
+        worth = lambda c: float(sum(g for g, k in zip(gain, c) if k))
+        best = max(worth(c) for c in (tuple(m >> k & 1 for k in range(n)) for m in range(1 << n)) if closed(c))
+        assert closed(keep) and worth(keep) == pytest.approx(best, abs=1e-6), html
+
+
 PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{x:'</p>'}</style></head><body><nav><ul>%s</ul></nav><div class='ad'>Buy now %d</div><article><h1>Title %d</h1>%s</article><footer>&copy; host</footer></body></html>"
 
 
@@ -720,5 +873,53 @@ def test_pipeline_stages(spark, edges, docs):
         assert d.columns == names, name
     out = corpus_pipeline.STAGES[-1][1](spark, d, SF)
     assert out.columns == [*names, "token_ids", "decoded", "n_tokens"] and out.count() == d.count() > 0
+    ran = corpus_pipeline.run(spark, SF)
+    assert ran.columns == out.columns
+    as_rows = lambda df: sorted((r["doc_id"], r["text"], tuple(r["token_ids"]), r["n_tokens"]) for r in df.collect())
+    assert as_rows(ran) == as_rows(out)
+    # by brute force: what was kept is what each stage's decisions say, on its own input
+    d, labels_ = docs, spark.read.parquet(f"{SF}/labels.parquet")
+    rules = quality_rules.fit(d, labels_)
+    kept = [r for r in d.collect() if r["doc_id"] in {x["doc_id"] for x in quality_rules.decide(d, rules).collect() if x["keep"]}]
+    d = spark.createDataFrame(kept, docs.schema)
+    ids = {r["doc_id"] for r in simhash_dedup.decide(d).collect() if r["keep"]}
+    d = secret_scan.redact(spark.createDataFrame([r for r in kept if r["doc_id"] in ids], docs.schema))
+    copies = {r["doc_id"]: r["copies"] for r in entropy_mix.rates(d).collect()}
+    want = sorted((r["doc_id"], r["text"]) for r in d.collect() for _ in range(copies[r["doc_id"]]))
+    assert [x[:2] for x in as_rows(ran)] == want
+    assert all(r["decoded"] == r["text"] for r in ran.collect())
+
+
+def test_pipeline_edges(spark, edges):
+    """Nulls, blank and very long texts, repeated rows, clashing names and empty tables, stage by stage."""
+    blank = {1, 2, 3}
+    kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, edges, SF).count() >= 0, name
+        rows = stage(spark, edges, SF)
+        assert rows.columns[: len(edges.columns)] == edges.columns, name
+        kept[name] = sorted((r[0] is not None, r[0] or 0) for r in rows.collect())
+        assert stage(spark, edges.limit(0), SF).count() == 0, name
+    every = sorted((i is not None, i or 0) for i, _ in EDGES)
+    rules = quality_rules.fit(edges, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert not rules and kept["quality rules"] == [x for x in every if x[1] not in blank]
+    once = list(every)
+    once.remove((True, 6))
+    assert kept["SimHash near-dedup"] == once
+    assert kept["secret scans"] == kept["mixing sources"] == kept["byte-level BPE"] == every
+
+
+def test_checkpoint_folder_of_a_cluster():
+    from types import SimpleNamespace
+
+    from fernlake.llm import common
+
+    def session(master, named):
+        context = SimpleNamespace(master=master, at=None)
+        context.getCheckpointDir = lambda: context.at
+        context.setCheckpointDir = lambda x: setattr(context, "at", x)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: named))
+
+    assert common.with_checkpoints(session("spark://x:1", "file:///shared")) == "file:///shared"
+    assert common.with_checkpoints(session("local[4]", None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.with_checkpoints(session("spark://x:1", None))
