@@ -5,7 +5,7 @@ weighted by the square root of their counts. ``TABLES`` fingerprints of
 ``WIDTH`` bits are drawn from it. To find all pairs of fingerprints within
 Hamming distance ``RADIUS`` = 2, every fingerprint emits all variants within half the
 radius (itself and each with one bit flipped); two fingerprints lie within the
-radius exactly when they emit a common variant. The variants are shuffled and sorted.
+radius exactly when they emit a common variant. The variants are shuffled, packed, and sorted.
 Of up to ``CROWD`` members of one variant all pairs are linked, and the links are deduplicated and verified on the
 whole signature (at most ``MAX_DISTANCE`` bits differ). Larger sets of members are deduplicated (a cluster shares most
 of its variants) and joined to their signatures; within each set a search from member to member, over those not yet reached, finds the
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fernlake.llm.common import cut, pick, table
+from fernlake.llm.common import cut, pick, release, table
 from fernlake.llm.components import components
 
 BITS = 256
@@ -47,6 +47,8 @@ RADIUS = 2
 MAX_DISTANCE = 38
 #: Members of one variant of which all pairs are linked; more are searched with their signatures.
 CROWD = 8
+#: Nodes whose variants are packed together (a power of 2, 2^16 at most), and variants of a shard.
+BATCH, SHARD_VARIANTS = 4096, 2_000_000
 #: Dropped doc_ids up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 WORD = re.compile(r"\w+")
@@ -141,50 +143,83 @@ def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.Ch
         yield columns(held)
 
 
-def links(nodes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """Distinct (a, b, crowd): the pairs of nodes that emit a common variant or, where ``crowd``, a set of more than ``CROWD`` such nodes (a) and its member (b)."""
-    bits = drawn(tables)
+def planes(x: np.ndarray) -> bytes:
+    """Numbers with the bytes of one weight side by side, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def unplaned(b: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+def links(nodes: DataFrame, tables: int = TABLES, shard_variants: int = SHARD_VARIANTS) -> DataFrame:
+    """Distinct (a, b, crowd): the pairs of nodes that emit a common variant or, where ``crowd``, a set of more than ``CROWD`` such nodes (a) and its member (b).
+
+    Variants travel packed: those of ``BATCH`` nodes, spread evenly over 44 bits by a bijection, are sorted, cut by shards at equal distances, and sent as gaps
+    with the numbers of their nodes in the batch. A shard holds about ``shard_variants``. On very large tables both should grow as memory allows (to 100 million
+    variants and a million nodes at 100 TB), since each batch sends a row to each shard.
+    """
+    bits, batch_bits = drawn(tables), BATCH.bit_length() - 1
+    shards = max(1, -(-nodes.count() * tables * (1 + WIDTH) // shard_variants))
+    edges = np.array([-(-(i << 44) // shards) for i in range(shards + 1)], np.uint64)
+    mask = np.uint64((1 << 44) - 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                sigs = np.array([np.frombuffer(s, np.uint8) for s in part.column(1).to_pylist()]).reshape(-1, BITS // 8)
-                if len(sigs):
-                    variants = ball(fingerprints(sigs, bits)).reshape(len(sigs), -1)
-                    own = np.repeat(part.column(0).to_numpy(zero_copy_only=False), variants.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(variants.ravel()), pa.array(own)], ["variant", "node"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, b.num_rows, BATCH):
+                part = b.slice(i, BATCH)
+                sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                prints = fingerprints(sigs, bits)
+                prints = ball(prints & (1 << 48) - 1 | prints >> 48 << 40).reshape(len(sigs), -1).view(np.uint64)
+                with np.errstate(over="ignore"):
+                    prints *= np.uint64(0x9E3779B97F5)  # odd, so no two variants become one
+                prints &= mask
+                prints <<= np.uint64(batch_bits)
+                prints |= np.arange(len(sigs), dtype=np.uint64)[:, None]
+                x = np.sort(prints.ravel())
+                v, n = x >> np.uint64(batch_bits), (x & np.uint64(BATCH - 1)).astype(np.uint16)
+                at = np.searchsorted(v, edges)
+                own = planes(np.diff(part.column(0).to_numpy(zero_copy_only=False), prepend=0))
+                rows = [(s, own, planes(np.diff(v[p:q], prepend=edges[s])), planes(n[p:q])) for s, (p, q) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if q > p]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "nodes", "gaps", "numbers"])
+
+    def meet(t: pa.Table) -> pa.Table:
         import xxhash
 
-        def batch(a, b, crowd):
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowd))], ["a", "b", "crowd"])
-
-        for v, n in whole(batches):
-            starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(v)]]))
-            few = np.repeat(sizes <= CROWD, sizes)
-            found = []
-            for d in range(1, CROWD):
-                i = np.flatnonzero((v[d:] == v[:-d]) & few[d:])
-                if not len(i):
-                    break
-                found.append(np.column_stack([n[i], n[i + d]]))
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)  # nodes are in order within a variant
-                yield batch(pairs[:, 0], pairs[:, 1], False)
-            sets = {}
-            for s, m in zip(starts[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist()):
-                members = n[s : s + m]
-                sets[xxhash.xxh3_64_intdigest(members.tobytes())] = members
-            if sets:
-                names = np.repeat(np.array(list(sets), np.uint64).view(np.int64), [len(m) for m in sets.values()])
-                yield batch(names, np.concatenate(list(sets.values())), True)
-
-    emitted = nodes.select("node", "sig").mapInArrow(emit, "variant long, node long")
-    met = emitted.repartition("variant").sortWithinPartitions("variant", "node")
-    return met.mapInArrow(meet, "a long, b long, crowd boolean").distinct()
+        # variants above, ranks of the nodes below: one sort of plain numbers orders both
+        own = [unplaned(x.as_py(), np.int64).cumsum() for x in t.column("nodes")]
+        known = np.unique(np.concatenate(own))
+        width = np.uint64(max(1, int(len(known) - 1).bit_length()))
+        parts = [unplaned(g.as_py(), np.uint64).cumsum(dtype=np.uint64) << width | np.searchsorted(known, o).astype(np.uint64)[unplaned(k.as_py(), np.uint16)] for o, g, k in zip(own, t.column("gaps"), t.column("numbers"))]
+        x = np.concatenate(parts)
+        del parts
+        x.sort()
+        v, n = x >> width, known[(x & np.uint64((1 << int(width)) - 1)).astype(np.int64)]
+        starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(v)]]))
+        few = np.repeat(sizes <= CROWD, sizes)
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, CROWD):
+            i = np.flatnonzero((v[d:] == v[:-d]) & few[d:])
+            if not len(i):
+                break
+            found.append(np.column_stack([n[i], n[i + d]]))
+        pairs = np.unique(np.concatenate(found), axis=0)  # nodes are in order within a variant
+        sets = {}
+        for s, m in zip(starts[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist()):
+            members = n[s : s + m]
+            sets[xxhash.xxh3_64_intdigest(members.tobytes())] = members
+        names = np.repeat(np.array(list(sets), np.uint64).view(np.int64), [len(m) for m in sets.values()])
+        release()
+        return pa.table({"a": np.concatenate([pairs[:, 0], names]), "b": np.concatenate([pairs[:, 1], *sets.values()]), "crowd": np.arange(len(pairs) + len(names)) >= len(pairs)})
+
+    emitted = nodes.select("node", "sig").mapInArrow(emit, "shard long, nodes binary, gaps binary, numbers binary")
+    return emitted.groupBy("shard").applyInArrow(meet, "a long, b long, crowd boolean").distinct()
 
 
 def reached(sigs: np.ndarray, max_distance: int) -> tuple[list[int], list[int]]:

@@ -701,6 +701,32 @@ def test_ball_meets_in_the_middle():
         assert all(meet) if flips <= simhash_dedup.RADIUS else not any(meet)
 
 
+def test_packed_variants_match_brute_force(spark):
+    rng = np.random.default_rng(61)
+    sigs = rng.integers(0, 256, (40, 32), dtype=np.uint8)
+    near = np.repeat(sigs, rng.integers(1, 14, 40), axis=0)
+    for s in near:
+        for b in rng.choice(256, 3, replace=False):
+            s[b // 8] ^= 1 << b % 8
+    nodes = spark.createDataFrame([(7 * i + 10**12 * (i % 3), bytearray(s.tobytes())) for i, s in enumerate(near)], "node long, sig binary")
+    by: dict[int, list] = {}
+    variants = simhash_dedup.ball(simhash_dedup.fingerprints(near, simhash_dedup.drawn())).reshape(len(near), -1)
+    for i, vs in enumerate(variants.tolist()):
+        for v in vs:
+            by.setdefault(v, []).append(7 * i + 10**12 * (i % 3))
+    want = {tuple(sorted((a, b))) for m in by.values() if len(m) <= simhash_dedup.CROWD for a in m for b in m if a != b}
+    crowds = {tuple(sorted(m)) for m in by.values() if len(m) > simhash_dedup.CROWD}
+    assert crowds and len(want) > 50
+    for size in (1_000, 10_000_000):
+        got = simhash_dedup.links(nodes, shard_variants=size).collect()
+        assert {tuple(sorted((r["a"], r["b"]))) for r in got if not r["crowd"]} == want
+        sets: dict[int, list] = {}
+        for r in got:
+            if r["crowd"]:
+                sets.setdefault(r["a"], []).append(r["b"])
+        assert {tuple(sorted(m)) for m in sets.values()} == crowds
+
+
 def test_components(spark):
     e = [(1, 2), (3, 2), (4, 5), (7, 7)] + [(100 + i, 101 + i) for i in range(50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
