@@ -485,10 +485,55 @@ def link_predict(spark, d):
     return graph.score_links(model, ids, e)
 
 
-@query("negative_edges")
+@query("negative_edges", "SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS kinds, CAST(0 AS BIGINT) AS edges")
 def negative_edges(spark, d):
+    """How many are drawn, how many of them differ, and how many are edges."""
     e = edges(spark, d).withColumn("kind", F.lit("bought"))
-    return graph.negative_sample(graph.nodes_of(e), e.select("kind"), e, 100)
+    s = graph.negative_sample(graph.nodes_of(e), e.select("kind"), e, 100)
+    known = s.join(e.withColumn("hit", F.lit(1)).distinct(), ["src", "dst", "kind"], "left")
+    return known.agg(F.count("*").alias("n"), F.count_distinct("src", "dst", "kind").alias("kinds"), F.count("hit").alias("edges"))
+
+
+DENSE = "SELECT DISTINCT n_regionkey AS src, n_nationkey % 5 AS dst, CAST(n_nationkey % 2 AS VARCHAR) AS kind FROM nation"
+
+
+@query("negative_exhaustive", f"WITH e AS ({DENSE}), i AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT a.id AS src, b.id AS dst, k.kind FROM i a, i b, (SELECT DISTINCT kind FROM e) k EXCEPT SELECT src, dst, kind FROM e")
+def negative_exhaustive(spark, d):
+    """Of a dense graph, more than there are: all places without an edge."""
+    n = read(spark, d, "nation")
+    e = n.select(F.col("n_regionkey").alias("src"), (F.col("n_nationkey") % 5).cast(n.schema["n_regionkey"].dataType).alias("dst"), (F.col("n_nationkey") % 2).cast("string").alias("kind")).distinct()
+    return graph.negative_sample(graph.nodes_of(e), e.select("kind"), e, 1000)
+
+
+KINDS = "SELECT o_custkey AS src, l_partkey AS dst, l_returnflag AS kind, CAST(sum(l_quantity) AS DOUBLE) AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"
+NORMED = f"SELECT src, dst, kind, score / (sqrt(sum(score * score) OVER (PARTITION BY src, dst)) + 1e-10) AS score FROM ({KINDS})"
+
+
+def kinds(spark, d):
+    e = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return e.groupBy(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("kind")).agg(F.sum("l_quantity").cast("double").alias("score"))
+
+
+@query("kind_norm", f"SELECT src, dst, kind, round(score, 6) AS score FROM ({NORMED})")
+def kind_norm(spark, d):
+    return graph.normalize_kinds(kinds(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "gather_links",
+    f"WITH s AS ({NORMED}), w AS (SELECT DISTINCT o_custkey AS src, l_partkey AS dst, 'R' AS kind FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1) SELECT src, dst, kind, round(coalesce(score, 0), 6) AS score, coalesce(score, 0) > 0.7 AS linked FROM w LEFT JOIN s USING (src, dst, kind)",
+)
+def gather_links(spark, d):
+    w = read(spark, d, "orders").join(read(spark, d, "lineitem").filter("l_linenumber = 1"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("R").alias("kind")).distinct()
+    s = graph.gather(graph.normalize_kinds(kinds(spark, d)), w)
+    return s.select("src", "dst", "kind", F.round("score", 6).alias("score"), (F.col("score") > 0.7).alias("linked"))
+
+
+@query("link_prediction")
+def link_prediction(spark, d):
+    c = read(spark, d, "customer")
+    e = c.select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("src"), F.col("c_mktsegment").alias("dst"), F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit").alias("kind")).distinct()
+    return graph.LinkPrediction(rank=4, steps=4, folds=2).fit(e).predict(e)
 
 
 @query("spectral")
@@ -608,3 +653,120 @@ def pair_truncation(spark, d):
     x = read(spark, d, "documents").filter("text is not null")
     a, b = S.truncated_pair(F.split("text", " "), F.split(F.concat_ws(" ", "lang", "source", F.lit("x y z")), " "), 12)
     return x.select("doc_id", F.size(a).cast("long").alias("na"), F.size(b).cast("long").alias("nb"))
+
+
+# Small operators
+
+
+@query("cast_typed", "SELECT o_orderkey, CAST(o_orderkey AS BIGINT) AS k, CAST(o_totalprice AS DOUBLE) AS price, o_orderkey % 3 <> 0 AS flag FROM orders")
+def cast_typed(spark, d):
+    from fernlake.sources import dataset
+
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("k"), F.col("o_totalprice").cast("double").cast("string").alias("price"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("yes").alias("flag"))
+    return dataset.cast_by_type(M.tag(o, {"k": ("Integer",), "price": ("Float",), "flag": ("Boolean",)}))
+
+
+@query("split_target", "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment FROM customer")
+def split_target(spark, d):
+    """Features and target of one table, put together again by key."""
+    from fernlake.sources import dataset
+
+    c = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("c_nationkey"), "c_mktsegment")
+    x, y = dataset.split_target(M.tag(c, {"c_custkey": ("PrimaryKey",), "c_nationkey": ("Integer", M.ATTRIBUTE), "c_mktsegment": ("SuggestedTarget",)}))
+    return x.join(y, "c_custkey")
+
+
+@query("binary_confidence", "SELECT doc_id, round(CAST(n_chars % 100 AS DOUBLE) / 100, 6) AS b, round(1 - CAST(n_chars % 100 AS DOUBLE) / 100, 6) AS a FROM documents")
+def binary_confidence(spark, d):
+    x = read(spark, d, "documents").select("doc_id", ((F.col("n_chars") % 100).cast("double") / 100).alias("s")).withColumn("p", F.array(1 - F.col("s"), F.col("s")))
+    return x.select("doc_id", F.round(reshape.binary_confidence(F.col("p"), ["a", "b"]), 6).alias("b"), F.round(reshape.binary_confidence(F.col("p"), ["a", "b"], "a"), 6).alias("a"))
+
+
+@query("roll_up", "SELECT CASE p_brand WHEN 'Brand#11' THEN 'one' WHEN 'Brand#12' THEN 'one' WHEN 'Brand#13' THEN 'two' ELSE p_brand END AS source, CAST(sum(p_size) AS DOUBLE) AS importance FROM part GROUP BY 1")
+def roll_up(spark, d):
+    return reshape.roll_up(read(spark, d, "part").select(F.col("p_brand").alias("feature"), F.col("p_size").cast("double").alias("importance")), {"Brand#11": "one", "Brand#12": "one", "Brand#13": "two"})
+
+
+@query("matching", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+def matching(spark, d):
+    return reshape.matching(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("digits", "SELECT p_partkey, regexp_full_match(CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_name END, '[0-9]+') AS yes FROM part")
+def digits(spark, d):
+    return read(spark, d, "part").select("p_partkey", S.is_digits(F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_name"))).alias("yes"))
+
+
+@query("blank_nulls", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS p FROM orders")
+def blank_nulls(spark, d):
+    return M.blank_nulls(read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("p")))
+
+
+@query("warmup", "SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN i / 200.0 < 0.1 THEN (i / 200.0) / 0.1 ELSE greatest((1 - i / 200.0) / 0.9, 0) END, 6)::DOUBLE AS factor FROM range(260) r(i)")
+def warmup(spark, d):
+    return spark.range(260).select(F.col("id").alias("step"), F.round(S.warmup(F.col("id"), 0.1, 200), 6).alias("factor"))
+
+
+@query("same_rows", "SELECT true AS same, false AS other")
+def same_rows(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return spark.range(1).select(F.lit(reshape.same_rows(c, c.repartition(3, "c_mktsegment"))).alias("same"), F.lit(reshape.same_rows(c, c.filter("c_custkey <> 7"))).alias("other"))
+
+
+@query("keyed_prediction", "SELECT doc_id, lang AS label FROM documents")
+def keyed_prediction(spark, d):
+    return reshape.keyed_prediction(read(spark, d, "documents").select("doc_id", F.col("lang").alias("prediction"), "source"), "doc_id", "prediction", "label")
+
+
+@query("numeric_projection", "SELECT p_partkey, p_size, p_retailprice, p_name FROM part")
+def numeric_projection(spark, d):
+    return M.numeric_only(read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_name", "p_type"), ["p_name"])
+
+
+@query("replaced_result", "SELECT p_partkey, p_size * 2 AS p_size, p_size AS old FROM part")
+def replaced_result(spark, d):
+    p = read(spark, d, "part").select("p_partkey", "p_size")
+    p = clean.return_result(p, {"old": F.col("p_size")}, "append")
+    return clean.return_result(p, {"twice": F.col("p_size") * 2}, "replace", replaced={"twice": "p_size"})
+
+
+@query("stratum_sizes", "SELECT c_mktsegment, CAST(CASE WHEN t <= 100 THEN n ELSE round(n * 100.0 / t) END AS BIGINT) AS n FROM (SELECT c_mktsegment, count(*) AS n, sum(count(*)) OVER () AS t FROM customer GROUP BY 1)")
+def stratum_sizes(spark, d):
+    return reshape.stratified_sample(read(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", 100, "c_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("sample_size", "SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS known FROM (SELECT 1)")
+def sample_size(spark, d):
+    """A sample of distinct customers, every one of them in the table."""
+    c = read(spark, d, "customer").select("c_custkey")
+    return reshape.hashed_sample(c, 100, "c_custkey").join(c, "c_custkey").agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("known"))
+
+
+FAR = {"cityblock": "list_sum(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i])))", "cosine": "list_cosine_distance(x, y)", "chebyshev": "list_max(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i])))"}
+
+
+@query("more_distances", "SELECT query, neighbour, " + ", ".join(f"round({v}, 5) + 0.0 AS {k}" for k, v in FAR.items()) + " FROM (SELECT a.vec_id AS query, b.vec_id AS neighbour, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id BETWEEN 10 AND 40)")
+def more_distances(spark, d):
+    e, out = read(spark, d, "embeddings"), None
+    for k in FAR:
+        own = neighbors.pair_distances(e.filter("vec_id < 10"), e.filter("vec_id between 10 and 40"), "vec_id", "embedding", k).withColumn(k, F.round("distance", 5) + F.lit(0.0)).drop("distance")
+        out = own if out is None else out.join(own, ["query", "neighbour"])
+    return out
+
+
+@query("whiten", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS covariance FROM range(3) a(i), range(3) b(j)")
+def whiten(spark, d):
+    """Covariances of the whitened components of both parts together: the unit matrix."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    e = read(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    a, b = encode.whiten(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "x", 3)
+    w = a.union(b).select(vector_to_array("whitened").alias("w"))
+    cov = w.agg(*[F.covar_samp(F.col("w")[i], F.col("w")[j]).alias(f"c{i}{j}") for i in range(3) for j in range(3)])
+    return cov.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.round(F.col(f"c{i}{j}"), 6) + F.lit(0.0)).alias("covariance")) for i in range(3) for j in range(3)])).alias("c")).select("c.*")
+
+
+@query("tfidf_encode")
+def tfidf_encode(spark, d):
+    x = read(spark, d, "documents").filter("length(text) < 800").select("doc_id", "text")
+    return encode.TextEncoder("tfidf", components=4).fit(x, ["text"], key="doc_id").transform(x)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernlake.plans.ordered import running_total
+
 CLASSIFICATION = ("f1Macro", "f1Micro", "f1", "accuracy", "meanReciprocalRank", "hitsAtK", "rocAuc", "rocAucMicro", "rocAucMacro")
 REGRESSION = ("meanSquaredError", "meanAbsoluteError", "rootMeanSquaredError", "rootMeanSquaredErrorAvg", "rSquared")
 CLUSTERING = ("normalizedMutualInformation",)
@@ -91,21 +93,18 @@ def hits_at_k(df, rank, k: int = 5) -> DataFrame:
 def average_rank(df: DataFrame, value: str, to: str = "rank") -> DataFrame:
     """Ranks from 1 in rising order, equals sharing the mean of theirs.
 
-    Distinct values are counted first and the counts summed in order, so only distinct values are ordered globally; rows are joined
-    back by value.
+    Distinct values are counted first, sorted by range into partitions and their counts summed there; rows are joined back by value.
     """
     counts = df.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    w = Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select("__v", (F.sum("__n").over(w) - (F.col("__n") - 1) / F.lit(2.0)).alias(to))
+    ranks = running_total(counts, "__v", "__n", "__upto").select("__v", (F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)).alias(to))
     return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
 def roc_auc(df, actual, score, positive=1) -> DataFrame:
-    """Mann-Whitney: how often a positive scores above a negative, equals counting half; only distinct scores are sorted."""
+    """Mann-Whitney: how often a positive scores above a negative, equals counting half; distinct scores are sorted by range into partitions."""
     y = (F.col(actual) == F.lit(positive)).cast("double")
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
-    below = F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")
-    w = by.withColumn("below", below)
+    w = running_total(by, "s", "q", "upto").withColumn("below", F.col("upto") - F.col("q"))
     return w.agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("value"))
 
 

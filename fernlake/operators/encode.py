@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlake import metadata as M
+from fernlake.plans.ordered import offsets, ranged
 
 #: Rows up to which a table of codes is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -100,17 +101,12 @@ def numbered(df: DataFrame, column: str, to: str, start: int = 0) -> DataFrame:
     Values are sorted by range into partitions; a partition's numbers begin after the sizes of those before, which are counted
     and sent as one literal.
     """
-    s = df.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    s = s.withColumn("__p", F.spark_partition_id())
-    sizes = {r[0]: r[1] for r in s.groupBy("__p").count().collect()}
-    offset, at = {}, start
-    for p in sorted(sizes):
-        offset[p], at = at, at + sizes[p]
-    if not offset:
+    parts = ranged(df.select(column).distinct(), column)
+    before = offsets(parts, F.count("*"), start)
+    if before is None:
         return df.select(column).limit(0).withColumn(to, F.lit(0).cast("long"))
-    starts = F.create_map(*[F.lit(x) for kv in offset.items() for x in kv])
     own = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
-    return s.select(column, (starts[F.col("__p")] + own).cast("long").alias(to))
+    return parts.select(column, (before + own).cast("long").alias(to))
 
 
 def factorize(df: DataFrame, column: str, key: str, to: str = "code", start: int = 0) -> DataFrame:

@@ -42,16 +42,95 @@ def edge_difference(candidates: DataFrame, edges: DataFrame, on: list[str]) -> D
 
 
 def negative_sample(nodes: DataFrame, kinds: DataFrame, edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n random (src, dst, kind) that aren't edges, by hash of a number, the same in every run."""
-    ids = nodes.select("id").withColumn("__i", F.row_number().over(Window.orderBy("id")) - 1)
-    ks = kinds.select("kind").distinct().withColumn("__k", F.row_number().over(Window.orderBy("kind")) - 1)
+    """n random (src, dst, kind) that aren't edges, by hash of a number, the same in every run; all of them where there are no more than n.
+
+    Sparse graphs are drawn from, anew with more draws where too many hit edges; where draws would come near to the number of places, all places are gone through.
+    """
+    from fernlake.operators.encode import numbered
+
+    ids, ks = numbered(nodes.select("id"), "id", "__i"), numbered(kinds.select("kind"), "kind", "__k")
     many, types = ids.count(), ks.count()
     if not many or not types:
         return edges.select("src", "dst", "kind").limit(0)
-    draws = nodes.sparkSession.range(4 * n).select(*[F.pmod(F.xxhash64("id", F.lit(seed + s)), F.lit(m)).cast("int").alias(c) for s, m, c in ((1, many, "__a"), (2, many, "__b"), (3, types, "__c"))], F.col("id").alias("__draw"))
-    out = draws.join(ids.toDF("src", "__a"), "__a").join(ids.toDF("dst", "__b"), "__b").join(ks.toDF("kind", "__c"), "__c")
-    out = out.groupBy("src", "dst", "kind").agg(F.min("__draw").alias("__draw"))
-    return edge_difference(out, edges, ["src", "dst", "kind"]).orderBy("__draw").limit(n).drop("__draw")
+    taken, size = edges.select("src", "dst", "kind").distinct(), 4 * n
+    while True:
+        every = size >= many * many * types // 4
+        span = nodes.sparkSession.range(many * many * types if every else size)
+        if every:
+            places = [F.floor(F.col("id") / (many * types)), F.floor(F.col("id") / types) % many, F.col("id") % types]
+        else:
+            places = [F.pmod(F.xxhash64("id", F.lit(seed + s)), F.lit(m)) for s, m in ((1, many), (2, many), (3, types))]
+        draws = span.select(*[p.cast("long").alias(c) for p, c in zip(places, ("__a", "__b", "__c"))], (F.xxhash64("id", F.lit(seed)) if every else F.col("id")).alias("__draw"))
+        out = draws.join(ids.toDF("src", "__a"), "__a").join(ids.toDF("dst", "__b"), "__b").join(ks.toDF("kind", "__c"), "__c")
+        out = out.groupBy("src", "dst", "kind").agg(F.min("__draw").alias("__draw"))
+        out = edge_difference(out, taken, ["src", "dst", "kind"]).orderBy("__draw").limit(n).drop("__draw")
+        if every or out.count() >= n:
+            return out
+        size *= 4
+
+
+def normalize_kinds(scores: DataFrame) -> DataFrame:
+    """src, dst, kind, score: each pair's scores divided by their Euclidean norm over the kinds of link."""
+    of = Window.partitionBy("src", "dst")
+    return scores.withColumn("score", F.col("score") / (F.sqrt(F.sum(F.col("score") * F.col("score")).over(of)) + F.lit(1e-10)))
+
+
+def gather(scores: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted (src, dst, kind) with their scores, 0 where there is none."""
+    on = ["src", "dst", "kind"]
+    return wanted.join(scores.select(*on, "score"), on, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+class LinkPrediction:
+    """Whether edges of a kind exist: non-negative factors for each kind of link, scores normalised over the kinds, and a threshold.
+
+    The threshold is the mean of the best ones of ``folds`` folds, each with as many places that aren't edges as it has edges. Kinds are few: each
+    has factors of its own, and a job of its own to find them.
+    """
+
+    def __init__(self, rank: int = 10, steps: int = 8, folds: int = 10, seed: int = 0, thresholds: int = 512):
+        self.rank, self.steps, self.folds, self.seed, self.thresholds = rank, steps, folds, seed, thresholds
+        self.models, self.threshold = {}, None
+
+    def _factors(self, edges: DataFrame) -> dict:
+        kinds = sorted(r[0] for r in edges.select("kind").distinct().collect())
+        return {k: factorize_links(edges.filter(F.col("kind") == F.lit(k)), self.rank, self.steps, self.seed) for k in kinds}
+
+    def _scores(self, models: dict, wanted: DataFrame) -> DataFrame:
+        pairs, out = wanted.select("src", "dst").distinct(), None
+        for k, (model, ids) in models.items():
+            own = score_links(model, ids, pairs).withColumn("kind", F.lit(k))
+            out = own if out is None else out.unionByName(own)
+        return gather(normalize_kinds(out), wanted)
+
+    def fit(self, edges: DataFrame) -> LinkPrediction:
+        from fernlake.plans.lineage import cut
+
+        e = cut(edges.select("src", "dst", "kind").distinct().withColumn("__fold", F.pmod(F.xxhash64("src", "dst", "kind", F.lit(self.seed)), F.lit(self.folds))))
+        nodes, found = nodes_of(e), []
+        for f in range(self.folds):
+            here = e.filter(F.col("__fold") == f).drop("__fold")
+            n = here.count()
+            if not n:
+                continue
+            none = negative_sample(nodes, e.select("kind"), e, n, self.seed + 17 * f)
+            valid = here.withColumn("y", F.lit(True)).unionByName(none.withColumn("y", F.lit(False)))
+            scored = self._scores(self._factors(e.filter(F.col("__fold") != f)), valid)
+            found.append(best_threshold(scored, "score", "y", self.thresholds).first()["threshold"])
+        self.threshold = sum(found) / len(found) if found else 0.0
+        self.models = self._factors(e)
+        return self
+
+    def predict(self, wanted: DataFrame) -> DataFrame:
+        """The wanted (src, dst, kind) with ``score`` and ``linked``; kinds and nodes never seen have no link."""
+        return self._scores(self.models, wanted).withColumn("linked", F.col("score") > F.lit(self.threshold))
+
+    def get_params(self) -> dict:
+        return dict(vars(self))
+
+    def set_params(self, params: dict) -> LinkPrediction:
+        vars(self).update(params)
+        return self
 
 
 def community_null(df: DataFrame, key: str, target: str = "community") -> DataFrame:

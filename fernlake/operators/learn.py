@@ -55,7 +55,11 @@ class Learner:
 
 @dataclass
 class Forest(Learner):
-    """One or several forests: majority vote (mean for regression). ``grid`` chooses depth and leaf size by a held-out share."""
+    """One or several forests: majority vote (mean for regression). ``grid`` chooses depth and leaf size by a held-out share.
+
+    Classifiers are fitted on ``final_rows`` rows at most, a sample by hash of the key, and their grid is searched on ``search_rows``; regressions are
+    fitted on all rows. Without ``num_fits``, three forests vote where there are fewer than ``small`` rows, one beyond.
+    """
 
     n_estimators: int = 32
     min_samples_leaf: int = 2
@@ -79,7 +83,7 @@ class Forest(Learner):
 
     def fit(self, df: DataFrame, target: str, key: str, features: Iterable[str] | None = None) -> Forest:
         x = self.prepare(df, target, key, features)
-        x = reshape.hashed_sample(x, self.final_rows, key, self.seed).select(key, "__label", "__features")
+        x = (reshape.hashed_sample(x, self.final_rows, key, self.seed) if self.classifies else x).select(key, "__label", "__features")
         if self.classifies:
             if self.balanced:
                 counts = {r["__label"]: r["count"] for r in x.groupBy("__label").count().collect()}
@@ -343,7 +347,3 @@ def tree_path_contributions(model, df: DataFrame, key: str, features: list[str])
             yield pd.DataFrame(rows, columns=[key, "feature", "value"])
 
     return df.select(key, *features).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, feature string, value double")
-
-
-def numbered_rows(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.orderBy(key)))

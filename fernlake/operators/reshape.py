@@ -73,6 +73,11 @@ def must_match(df: DataFrame, table: DataFrame, on: str) -> DataFrame:
     return out.withColumn(probe, F.coalesce(probe, F.raise_error(F.concat(F.lit(f"no match for {on} "), F.col(on).cast("string"))).cast(table.schema[probe].dataType)))
 
 
+def matching(df: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """Only the rows that have a partner, each once."""
+    return df.join(table.select(on), on, "left_semi")
+
+
 def keyed_prediction(df: DataFrame, key: str, prediction: str, target: str) -> DataFrame:
     return df.select(key, F.col(prediction).alias(target))
 

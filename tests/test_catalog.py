@@ -37,6 +37,6 @@ def test_matches_oracle(spark, db, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["hashed_sample", "stratified_sample", "forest", "kmeans", "linear_svc"])
+@pytest.mark.parametrize("name", ["hashed_sample", "stratified_sample", "forest", "kmeans", "linear_svc", "link_prediction", "tfidf_encode"])
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
