@@ -21,7 +21,8 @@ Defined results, one row for each input row: null html gives null text and no
 nodes; empty html or html without text gives empty text; without pages to learn
 from every block's text outside script, style and head is kept; repeated rows
 and repeated or null page_id give a row each; empty tables give empty results;
-extra columns are ignored.
+extra columns are ignored, whatever they are called. Very long and very deep pages are parsed whole. Ties: a node whose
+log-odds add up to exactly zero goes; of equal splits of a tree the first feature and lowest threshold is taken.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ which come back to the chunk and meet its texts. So the model is never collected
 
 A document's perplexity for each character decides: it is kept up to its
 language's threshold, the ``QUANTILE`` of the perplexities of the trusted documents that
-were held out of training (a tenth, by hash of doc_id), widened by ``MARGIN``.
+were held out of training (a tenth, by hash of doc_id).
 
 An n-gram is its characters' numbers of 16 bits side by side, so contexts and suffixes are shifts and masks of it; the characters
 beyond the basic plane share the 6,400 numbers of its private area. Runs of white space count as one space, and a
@@ -39,7 +39,6 @@ from fernlake.llm.common import cut, packed, pick, release, table, unpacked
 ORDER = 4
 CHUNK_BYTES = 48_000_000
 QUANTILE = 0.99
-MARGIN = 1.1
 HELD_OUT = 10
 START = 0xFFFF  # not a character
 #: Characters that are worked on at once: each takes some 60 bytes then.
@@ -286,7 +285,7 @@ def held_out(c: str = "doc_id"):
     return F.pmod(F.xxhash64(c), F.lit(HELD_OUT)) == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, lang, perplexity, threshold, keep; one row for each input row."""
     d = pick(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     full, blank = d.filter(F.coalesce("text", F.lit("")).rlike(r"(?U)\S")), d.filter(~F.coalesce("text", F.lit("")).rlike(r"(?U)\S"))
@@ -299,7 +298,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     limits = known.groupBy("lang").agg(
         F.coalesce(F.percentile_approx(F.when(held_out(), F.col("perplexity")), quantile, 100_000), F.percentile_approx("perplexity", quantile, 100_000)).alias("q")
     )
-    limits = limits.select(F.col("lang").alias("l"), (F.col("q") * margin).alias("threshold"))
+    limits = limits.select(F.col("lang").alias("l"), F.col("q").alias("threshold"))
     out = scores.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")), "left")
     out = out.select("doc_id", "lang", "perplexity", "threshold", (F.col("perplexity").isNull() | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))).alias("keep"))
     none = F.lit(None).cast("double")

@@ -14,8 +14,8 @@ It is a projection in Arrow batches without a shuffle.
 Defined results: null and empty texts have no detections; each detection is one
 row, in order of position; repeated rows and repeated or null doc_id give
 detections for every row; empty tables give empty results; extra columns are
-ignored. Offsets count Unicode code points; letters match without regard to
-ASCII case.
+ignored, whatever they are called. Offsets count Unicode code points; letters match without regard to
+ASCII case. Very long texts are scanned whole; detections are resolved in one sweep for each priority.
 """
 
 from __future__ import annotations

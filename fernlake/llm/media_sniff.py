@@ -16,7 +16,8 @@ Defined results, one row for each input row:
 * null or empty declared type: ``corrected`` is true if a type was confirmed;
 * embedded media lie outside or within one another, and not within one of their own kind: of overlapping ones the first, then longest, stays;
 * content of data addresses, base64 or percent-encoded, and media inside it are given at the place of the address;
-* repeated rows and repeated or null keys give a row each; empty tables give empty results; extra columns are ignored.
+* very long blobs are read whole; of formats that claim one place, the longest confirmed one is the type;
+* repeated rows and repeated or null keys give a row each; empty tables give empty results; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Defined results: null and empty texts have no findings and pass redaction
 unchanged; each finding is one row, in order of position; repeated rows and
 repeated or null doc_id give findings for every row; empty tables give empty
 results; extra columns are ignored by ``scan`` and kept by ``stage``. Offsets
-count Unicode code points. The secret itself is never returned, only its first
+count Unicode code points. Very long texts are scanned whole, and so are very long runs; a ratio equal to the
+limit is no finding. The secret itself is never returned, only its first
 four characters and a SHA-256 prefix.
 """
 
