@@ -136,6 +136,8 @@ def chunk_words(rows: DataFrame, shards: int) -> DataFrame:
                     words.update(split(t.as_py()))
         if words:
             yield out(now, words)
+        del words
+        release()
 
     # in order of the chunks, so that a task holds the words of one chunk at a time
     return rows.sortWithinPartitions("chunk").mapInArrow(run, "shard int, chunk long, words binary, numbers binary")
@@ -159,6 +161,8 @@ def encoded_words(words: DataFrame, shards: int, vocabulary: str) -> DataFrame:
                 sizes.append(z.compress((np.fromiter(map(len, found), np.uint32, len(found)) // 4).tobytes()))
                 ids.append(z.compress(b"".join(found)))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "numbers", "sizes", "ids"])
+        del once
+        release()
 
     return words.repartition(shards, "shard").mapInArrow(run, "chunk long, numbers binary, sizes binary, ids binary")
 
@@ -223,6 +227,7 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCA
         done = pa.concat_tables(tables).drop_columns(["chunk"] if texts_too else ["chunk", "text"]).append_column("token_ids", out)
         if decoded:
             done = done.append_column(decoded, decode_array(out, *token_bytes(path)))
+        del tables, texts, rank_of, sizes, which, order, starts, flat_ids, parts, values, out
         release()
         return done
 

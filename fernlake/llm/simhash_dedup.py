@@ -115,6 +115,8 @@ def sign(docs: DataFrame) -> DataFrame:
         for b in batches:
             sigs = [signer(t.as_py()) if i.is_valid else None for i, _, t in zip(*b.columns)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.binary())], ["doc_id", "h", "sig"])
+        del signer
+        release()
 
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return d.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, sig binary")
@@ -187,6 +189,7 @@ def links(nodes: DataFrame, tables: int = TABLES, shard_variants: int = SHARD_VA
                 own = planes(np.diff(part.column(0).to_numpy(zero_copy_only=False), prepend=0))
                 rows = [(s, own, planes(np.diff(v[p:q], prepend=edges[s])), planes(n[p:q])) for s, (p, q) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if q > p]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "nodes", "gaps", "numbers"])
+        release()
 
     def meet(t: pa.Table) -> pa.Table:
         import xxhash
