@@ -38,7 +38,7 @@ from fernlake.llm.common import TOKENIZERS, packed, release, table, unpacked
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text of a chunk. A task holds the chunk's distinct words; texts stream past them.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 #: Text whose distinct words meet in one shard at most; the words of so much text are held at once.
 SHARD_BYTES = 256_000_000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
