@@ -358,6 +358,53 @@ def test_long_texts_with_unrelated_middles(spark):
     assert sorted((r["doc_id"], r["n_words"]) for r in got) == [(0, 20_000)] * 2 + [(1, 20_000)] * 2
 
 
+def test_classes_lose_no_link(spark, edges):
+    """Against all pairs of texts: classes connect every link, also behind many texts that share most of a passage with either text (neighbours alone lost 8 of 17)."""
+    rng, texts = random.Random(2), []
+    for i in range(20):
+        q = [f"q{i}x{j}" for j in range(60)]
+        v = [f"r{i}x{j}" if rng.random() < 0.2 else w for j, w in enumerate(q)]
+        for t in (q, v):
+            texts.append(" ".join([f"a{len(texts)}w{j}" for j in range(20)] + t + [f"b{len(texts)}w{j}" for j in range(20)]))
+        for m in range(50):
+            s = rng.randrange(60 - 34)
+            fill = [f"c{i}m{m}w{j}" for j in range(20)]
+            texts.append(" ".join(fill[:10] + (q if m % 2 else v)[s : s + 34] + fill[10:]))
+    of = [chain_dedup.Seeds([t]) for t in texts]
+    links = []
+    for a in range(len(texts)):
+        for b in range(a + 1, min(len(texts), a // 52 * 52 + 52)):  # only those of one i share words
+            _, i, j = np.intersect1d(of[a].keys, of[b].keys, return_indices=True)
+            if len(i) < 2:
+                continue
+            blocks = chain_dedup.merged(of[a].pos[i], of[b].pos[j], chain_dedup.REACH)
+            for c in (p for c in chain_dedup.chained(blocks, chain_dedup.K) for p in chain_dedup.parted(blocks[c], chain_dedup.K)):
+                if c[:, 3].sum() >= 2 and c[:, 5].max() - c[:, 4].min() >= 26:
+                    xs, xe, ys, ye, equal, columns = chain_dedup.align(texts[a].split(), texts[b].split(), np.column_stack([c[:, 0], c[:, 1], c[:, 2] - c[:, 0] + chain_dedup.K]))
+                    if min(xe - xs, ye - ys) >= chain_dedup.MIN_WORDS and equal >= chain_dedup.MIN_IDENTITY * columns:
+                        links.append((a, b))
+    rows = list(enumerate(texts)) + [(10_000, texts[0]), (10_000, texts[0]), (None, texts[3])]
+    for crowd in (3, chain_dedup.CROWD):
+        got = chain_dedup.classes(frame(spark, rows), crowd=crowd).collect()
+        assert len(got) == len(rows)
+        classes = {r["doc_id"]: r["class_id"] for r in got}
+        assert len(links) > 10 and all(classes[a] == classes[b] for a, b in links)
+        assert classes[10_000] == classes[0] and classes[None] == classes[3]
+        sizes = {r["class_id"]: r["class_size"] for r in got}
+        assert all(sizes[c] == sum(r["class_id"] == c for r in got) for c in sizes) and sum(sizes.values()) == len(rows)
+        assert sum(r["class_size"] == 1 for r in got) > 0.9 * len(rows)
+    assert all(r["class_size"] == 1 and r["class_id"] == r["doc_id"] for r in chain_dedup.classes(edges).collect() if r["doc_id"] != 5)
+    assert chain_dedup.classes(edges.limit(0)).count() == 0
+
+
+def test_best_alignment_is_a_bound():
+    rng = random.Random(5)
+    for _ in range(200):
+        x, y = ([rng.choice("abcdef") for _ in range(rng.randrange(12))] for _ in range(2))
+        (equal, columns), (most, least) = chain_dedup.distance(x, y), chain_dedup.at_best(x, y)
+        assert most >= equal and least <= columns
+
+
 # 4 byte-level BPE
 
 
