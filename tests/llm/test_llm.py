@@ -397,6 +397,37 @@ def test_classes_lose_no_link(spark, edges):
     assert chain_dedup.classes(edges.limit(0)).count() == 0
 
 
+def test_crossing_sends_matches_once(spark):
+    """Texts with many popular seeds in common: their matches are those of all twos, in a few rows for each pair (a row for each match of each two before)."""
+    rng, span = random.Random(7), (22, 52)
+    texts = {}
+    for n in range(40):
+        kept = sorted(rng.sample(range(60), 45))
+        texts[n] = [(1 + (x + 1) * 0x9E3779B97F4A7C15 % 2**64, x + 5 * n) for x in kept]
+    runs = spark.createDataFrame([(n, np.array([k for k, _ in r], "<u8").tobytes() + np.array([p for _, p in r], "<i4").tobytes()) for n, r in texts.items()], "node long, blocks binary")
+    roots = spark.createDataFrame([(n, n // 4) for n in range(0, 40, 2)], "node long, root long")
+    want = {}
+    for a in texts:
+        for b in range(a + 1, 40):
+            if a % 2 == b % 2 == 0 and a // 4 == b // 4:
+                continue
+            place = dict(texts[b])
+            for i, (x, p) in enumerate(texts[a]):
+                for y, q in texts[a][i:]:
+                    if span[0] <= q - p < span[1] and x in place and y in place:
+                        want.setdefault((a, b), []).extend([(p, place[x]), (q, place[y])])
+    # roots are numbers of texts here too, so odd texts up to 9 may share a class with others: those pairs are left out
+    same = {n: n // 4 if n % 2 == 0 else n for n in texts}
+    want = {p: sorted(m) for p, m in want.items() if same[p[0]] != same[p[1]]}
+    rows = chain_dedup.crossing(runs, roots, span, "all").collect()
+    got = {}
+    for r in rows:
+        x, far, many = np.frombuffer(r["matches"], "<i4").reshape(3, -1)
+        got.setdefault((r["a"], r["b"]), []).extend((int(p), int(p + d)) for p, d, n in zip(x, far, many) for _ in range(n))
+    assert {p: sorted(m) for p, m in got.items()} == want
+    assert len(want) > 500 and len(rows) < sum(map(len, want.values())) / 20
+
+
 def test_best_alignment_is_a_bound():
     rng = random.Random(5)
     for _ in range(200):
