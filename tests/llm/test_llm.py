@@ -428,6 +428,28 @@ def test_crossing_sends_matches_once(spark):
     assert len(want) > 500 and len(rows) < sum(map(len, want.values())) / 20
 
 
+def test_pieces_of_a_text_are_shared(spark, monkeypatch):
+    """What overlapping chains want of a text is one piece in each cell (one for each chain before), and classes don't depend on the cells."""
+    texts = {n: " ".join(f"t{n}w{j}" for j in range(300)) for n in range(3)}
+    docs = spark.createDataFrame([(n, n, t) for n, t in texts.items()], "node long, doc_id long, text string")
+    rows, chunk, _ = chain_dedup.dealt(docs, 1_000_000, 1_000_000)
+    wanted = spark.createDataFrame([(n, c, 100 + i, 130 + 2 * i) for n in texts for c in range(2) for i in range(20)] + [(0, 0, 290, 300)], "node long, cell long, from int, to int")
+    got = chain_dedup.cut_out_once(rows, wanted.select(chunk, "*"), 10).collect()
+    assert sorted((r["node"], r["cell"], r["first"], r["more"]) for r in got) == sorted([(n, c, 90, True) for n in texts for c in range(2)] + [(0, 0, 280, False)])
+    for r in got:
+        words = texts[r["node"]].split()
+        assert r["piece"].split() == (words[90:178] if r["first"] == 90 else words[280:])
+    rng = random.Random(3)
+    quotes = [[f"q{i}x{j}" for j in range(50)] for i in range(6)]
+    many = [(n, " ".join([f"a{n}w{j}" for j in range(rng.randrange(90))] + (quotes[n % 6] if n % 5 else quotes[n % 6][:30]) + [f"b{n}w{j}" for j in range(rng.randrange(90))])) for n in range(120)]
+    get = lambda: sorted(tuple(r) for r in chain_dedup.classes(frame(spark, many), crowd=8).collect())
+    usual = get()
+    monkeypatch.setattr(chain_dedup, "CELL_TEXTS", 2)
+    assert get() == usual
+    assert sorted({c for _, c, size in usual if size > 1}) == sorted({min(n for n in range(i, 120, 6) if n % 5) for i in range(6)})
+    assert all((size == 1) == (n % 5 == 0) for n, _, size in usual)
+
+
 def test_best_alignment_is_a_bound():
     rng = random.Random(5)
     for _ in range(200):
