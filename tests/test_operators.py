@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fernlake import catalog
 from fernlake import metadata as M
 from fernlake import registry
 from fernlake.functions import metrics as K
 from fernlake.functions import scalar as S
 from fernlake.operators import clean, encode, graph, learn, neighbors, reshape
+from fernlake.plans.ordered import quantiles
 from fernlake.plans.tabular import TabularPlan
 from fernlake.sources import dataset, media
 from fernlake.streaming import transform_stream
@@ -243,3 +245,18 @@ def test_biases():
     y = (rng.random(400) < 0.1).astype(int)
     s = np.column_stack([np.full(400, 0.6), 0.4 * y + 0.3 * rng.random(400)])
     assert f1_macro(y, (s + class_biases(s, y)).argmax(axis=1), 2) >= f1_macro(y, s.argmax(axis=1), 2)
+
+
+def test_quantiles(spark):
+    rows = [(float(x * 37 % 101),) for x in range(500)] + [(None,), (-3.5,), (7.25,)]
+    df, at = spark.createDataFrame(rows, "x double").repartition(5), [0.0, 0.013, 0.5, 0.95, 0.99, 1.0]
+    assert quantiles(df, F.col("x"), at) == list(df.agg(*[F.percentile("x", q) for q in at]).first())
+    assert quantiles(df.filter("x is null"), F.col("x"), [0.5]) == [None]
+    assert quantiles(df.limit(1).select(F.lit(2).alias("x")), F.col("x"), [0.3]) == [2.0]
+
+
+@pytest.mark.parametrize("name", ["percentiles", "token_median", "baselines"])
+def test_no_task_holds_all_values(spark, monkeypatch, name):
+    """The aggregate ``percentile`` brings all distinct values into one task."""
+    monkeypatch.setattr(F, "percentile", lambda *a: pytest.fail("percentile"))
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 1
