@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernlake.plans.parts import distinct
+
 
 def nodes_of(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return edges.select(F.col(src).alias("id")).union(edges.select(dst)).distinct()
 
 
 def symmetrize(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Distinct edges of both directions."""
-    e = edges.select(src, dst)
-    return e.union(e.select(F.col(dst).alias(src), F.col(src).alias(dst))).distinct()
+    """Distinct edges of both directions. Either direction of an edge is the same pair, so each pair travels and is held once, and is turned round afterwards."""
+    pair = F.sort_array(F.array(src, dst))
+    pairs = distinct(edges.select(F.get(pair, F.lit(0)).alias("__low"), F.get(pair, F.lit(1)).alias("__high")))
+    both = F.array(F.struct(F.col("__low").alias(src), F.col("__high").alias(dst)), F.struct(F.col("__high").alias(src), F.col("__low").alias(dst)))
+    return pairs.select(F.inline(F.when(F.col("__low").eqNullSafe(F.col("__high")), F.slice(both, 1, 1)).otherwise(both)))
 
 
 def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst", kind: str | None = None) -> DataFrame:

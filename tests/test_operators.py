@@ -1,6 +1,7 @@
 """Operators on small frames with known results."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from fernlake import registry
 from fernlake.functions import metrics as K
 from fernlake.functions import scalar as S
 from fernlake.operators import clean, encode, graph, learn, neighbors, reshape
+from fernlake.plans import parts
 from fernlake.plans.ordered import quantiles
 from fernlake.plans.tabular import TabularPlan
 from fernlake.sources import dataset, media
@@ -260,3 +262,19 @@ def test_no_task_holds_all_values(spark, monkeypatch, name):
     """The aggregate ``percentile`` brings all distinct values into one task."""
     monkeypatch.setattr(F, "percentile", lambda *a: pytest.fail("percentile"))
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 1
+
+
+def test_symmetrize_nulls_and_loops(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (None, 4), (5, None), (None, None), (1, 2), (4, None)], "src long, dst long")
+    want = {(1, 2), (2, 1), (3, 3), (None, 4), (4, None), (5, None), (None, 5), (None, None)}
+    got = [tuple(r) for r in graph.symmetrize(e).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["edge_symmetrize", "degree_norm", "edge_anti"])
+def test_distinct_edges_take_parts_by_input(spark, monkeypatch, name):
+    """Distinct edges are found in as many tasks as the input asks for, whatever the session's number of shuffle partitions."""
+    monkeypatch.setattr(parts.parts_of, "__defaults__", (20_000,))
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    numbers = [int(x) for x in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert numbers and max(numbers) > int(spark.conf.get("spark.sql.shuffle.partitions"))
