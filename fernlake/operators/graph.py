@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernlake.plans.lineage import written
 from fernlake.plans.parts import distinct
 
 
@@ -49,6 +50,7 @@ def negative_sample(nodes: DataFrame, kinds: DataFrame, edges: DataFrame, n: int
     """n random (src, dst, kind) that aren't edges, by hash of a number, the same in every run; all of them where there are no more than n.
 
     Sparse graphs are drawn from, anew with more draws where too many hit edges; where draws would come near to the number of places, all places are gone through.
+    Draws are written, so that as few as there mostly are go to where nodes and edges lie, which are gone through once for each number of draws.
     """
     from fernlake.operators.encode import numbered
 
@@ -56,7 +58,7 @@ def negative_sample(nodes: DataFrame, kinds: DataFrame, edges: DataFrame, n: int
     many, types = ids.count(), ks.count()
     if not many or not types:
         return edges.select("src", "dst", "kind").limit(0)
-    taken, size = edges.select("src", "dst", "kind").distinct(), 4 * n
+    on, size = ["src", "dst", "kind"], 4 * n
     while True:
         every = size >= many * many * types // 4
         span = nodes.sparkSession.range(many * many * types if every else size)
@@ -64,10 +66,11 @@ def negative_sample(nodes: DataFrame, kinds: DataFrame, edges: DataFrame, n: int
             places = [F.floor(F.col("id") / (many * types)), F.floor(F.col("id") / types) % many, F.col("id") % types]
         else:
             places = [F.pmod(F.xxhash64("id", F.lit(seed + s)), F.lit(m)) for s, m in ((1, many), (2, many), (3, types))]
-        draws = span.select(*[p.cast("long").alias(c) for p, c in zip(places, ("__a", "__b", "__c"))], (F.xxhash64("id", F.lit(seed)) if every else F.col("id")).alias("__draw"))
-        out = draws.join(ids.toDF("src", "__a"), "__a").join(ids.toDF("dst", "__b"), "__b").join(ks.toDF("kind", "__c"), "__c")
-        out = out.groupBy("src", "dst", "kind").agg(F.min("__draw").alias("__draw"))
-        out = edge_difference(out, taken, ["src", "dst", "kind"]).orderBy("__draw").limit(n).drop("__draw")
+        draws = written(span.select(*[p.cast("long").alias(c) for p, c in zip(places, ("__a", "__b", "__c"))], (F.xxhash64("id", F.lit(seed)) if every else F.col("id")).alias("__draw")))
+        named = written(ids.join(draws.select(F.col("__a").alias("__i")).union(draws.select("__b")).distinct(), "__i", "left_semi").select("id", "__i"))
+        out = draws.join(named.toDF("src", "__a"), "__a").join(named.toDF("dst", "__b"), "__b").join(ks.toDF("kind", "__c"), "__c")
+        out = written(out.groupBy(*on).agg(F.min("__draw").alias("__draw")))
+        out = written(edge_difference(out, edges.join(out, on, "left_semi"), on).orderBy("__draw").limit(n).drop("__draw"))
         if every or out.count() >= n:
             return out
         size *= 4

@@ -278,3 +278,13 @@ def test_distinct_edges_take_parts_by_input(spark, monkeypatch, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     numbers = [int(x) for x in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert numbers and max(numbers) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_negative_edges_find_edges_once(spark, monkeypatch):
+    """The join behind the edges is planned once, and what is drawn is read back, not drawn again by every reader."""
+    made = []
+    monkeypatch.setattr(catalog, "distinct", lambda df: made.append(df) or df.select("src", "dst").distinct())
+    out = catalog.QUERIES["negative_edges"](spark, "/root/testdata/sf0.001")
+    read = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 1 and "parquet" in read and "o_custkey" not in read and "l_partkey" not in read
+    assert tuple(out.first()) == (100, 100, 0)
