@@ -288,3 +288,20 @@ def test_negative_edges_find_edges_once(spark, monkeypatch):
     read = out._jdf.queryExecution().optimizedPlan().toString()
     assert len(made) == 1 and "parquet" in read and "o_custkey" not in read and "l_partkey" not in read
     assert tuple(out.first()) == (100, 100, 0)
+
+
+@pytest.mark.parametrize("size", [3, 12, 1000])
+def test_vocabulary_is_the_most_frequent_grams(spark, monkeypatch, size):
+    from collections import Counter
+
+    from pyspark.ml.feature import CountVectorizer
+
+    rng = np.random.default_rng(5)
+    texts = [[f"w{min(int(x), 60)}" for x in rng.geometric(0.12, int(rng.integers(0, 40)))] for _ in range(60)] + [[]]
+    n = Counter(" ".join(t[i : i + k]) for t in texts for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    df = spark.createDataFrame([(t,) for t in texts], "w array<string>")
+    assert encode.vocabulary(df, F.col("w"), 3, size) == sorted(n, key=lambda g: (-n[g], g))[:size]
+    # CountVectorizer shuffles every gram there is
+    monkeypatch.setattr(CountVectorizer, "fit", lambda *a: pytest.fail("all grams are counted"))
+    rows = spark.createDataFrame([(" ".join(t),) for t in texts], "t string")
+    assert encode.tfidf(rows, "t", 2, size).transform(rows).count() == 61
